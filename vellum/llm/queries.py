@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup
+from . import embeddings, neardup, warc
 from .common import table
 
 
@@ -12,7 +13,20 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.minhash_near_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_minhash_near_dedup": op7_minhash_near_dedup}
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("problem").isNull().alias("verified"))
+
+
+QUERIES = {
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op10_warc": op10_warc,
+}
 
 ORACLE_SQL = {
     # Every pair that shares a shingle is counted in full, and the least reachable id found by recursion.
@@ -35,5 +49,31 @@ reach(doc_id, other) AS (
 least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
 FROM documents d JOIN least l USING (doc_id) LEFT JOIN sizes s USING (doc_id)
+""",
+    "op9_embedding_near_dedup": """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+good AS (
+  SELECT * FROM vectors WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.95),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l USING (vec_id) LEFT JOIN counts c ON c.a = e.vec_id
+""",
+    "op10_warc": """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+c AS (SELECT payload_digest, max(page_id) AS carrier FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < carrier THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < carrier THEN carrier END AS refers_to, TRUE AS verified
+FROM p LEFT JOIN c USING (payload_digest)
 """,
 }
