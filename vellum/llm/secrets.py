@@ -126,8 +126,8 @@ def _scanned(docs: DataFrame, repo_col: str, owner_col: str, live_owners: int) -
     shown = (F.col("kind") < len(BASE)) | live
     names = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     label = F.concat(names, F.lit(":"), F.col("start").cast("string"), F.lit(":"), F.col("end").cast("string"))
-    per_row = judged.where(shown).groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("start", "kind", "end", label.alias("label")))).alias("s"),
+    per_row = judged.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.when(shown, F.struct("start", "kind", "end", label.alias("label"))))).alias("s"),
         F.count_if(live).alias("n_live"), F.count_if(F.col("owners") > live_owners).alias("n_copied"),
     )
     return found, per_row.select("row", F.array_join("s.label", ",").alias("spans"), "n_live", "n_copied")
