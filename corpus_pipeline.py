@@ -1,28 +1,69 @@
-"""Corpus preparation: each stage takes (spark, docs, sf_dir), works on all that its predecessor kept."""
+"""Corpus preparation in five stages; each takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+
+Language ID drops documents without words and those whose mixture names no language; the quality classifier drops
+those it takes for junk; of near duplicates the least id stays; secrets are masked; the rest is packed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellum.llm import neardup
-from vellum.llm.common import table, written
+from vellum.llm import language, neardup, packing, quality, secrets
+from vellum.llm.common import skew_join, table, written
+from vellum.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``ids``; rows without an id go."""
+    return docs.select(*COLUMNS).join(ids.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of undetermined language and names the language of those that had none."""
+    named = language.identified(docs).where(F.col("lang_pred") != language.UNDETERMINED).where("doc_id IS NOT NULL")
+    named = named.groupBy("doc_id").agg(F.min("lang_pred").alias("lang_pred"))
+    kept = skew_join(docs.select(*COLUMNS), named, ["doc_id"])
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier scores below its threshold."""
+    labels = table(spark, sf_dir, "labels")
+    return _keep(docs, quality.quality_scores(docs, labels).where("predicted = 1"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays."""
-    kept = neardup.minhash_near_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return _keep(docs, neardup.minhash_near_dedup(docs).where("kept"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks what the secret scan finds; every document stays."""
+    return secrets.redacted(docs.select(*COLUMNS))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenizes the documents and packs them into training sequences."""
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
-STAGES = [("minhash_near_dedup", drop_near_duplicates)]
+STAGES = [
+    ("language_id", identify_language),
+    ("quality_classifier", drop_junk),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("secret_scans", mask_secrets),
+    ("best_fit_packing", pack),
+]
 
-#: A learned classifier, MinHash and packing have no SQL form; tests hold the stages against brute force.
+#: A learned classifier, MinHash and packing have no SQL form; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each result but the last written as Parquet and reread."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)

@@ -134,6 +134,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; quicker than numpy's own on many small arrays."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def shingle_hashes(text: str, width: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``width`` words, A-Z lower-cased.
 
@@ -149,7 +155,7 @@ def shingle_hashes(text: str, width: int = 5) -> np.ndarray:
     out = np.zeros(len(words) - n + 1, np.uint64)
     for i in range(n):
         out = out * np.uint64(0x5851F42D4C957F2D) + words[i : i + len(out)]
-    return np.unique(mix64(out + np.uint64(n)))
+    return distinct(mix64(out + np.uint64(n)))
 
 
 def batches_of_docs(sets: list[np.ndarray], most: int = 1 << 16):
