@@ -103,7 +103,7 @@ def records_of(page_id, url, payload: bytes, digest: str, record_type: str, refe
 
 
 def write_archives(marked: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write the rows of ``with_revisits`` as WARC files under ``path``.
+    """Write the rows of ``with_revisits`` as gzipped WARC files under ``path``.
 
     A record holds at most ``segment_bytes`` of content and a file at most ``records_per_file`` records, which bounds
     what a reading task holds however long a page is.
@@ -122,7 +122,7 @@ def write_archives(marked: DataFrame, path: str, segment_bytes: int = SEGMENT_BY
 
     columns = marked.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")
     records = columns.mapInPandas(build, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    records.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path, compression="gzip")
 
 
 def parse_records(data: bytes):
