@@ -10,34 +10,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import language, neardup, packing, quality, secrets
-from vellum.llm.common import skew_join, table, written
+from vellum.llm.common import table, written
 from vellum.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``ids``; rows without an id go."""
-    return docs.select(*COLUMNS).join(ids.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of undetermined language and names the language of those that had none."""
-    named = language.identified(docs).where(F.col("lang_pred") != language.UNDETERMINED).where("doc_id IS NOT NULL")
-    named = named.groupBy("doc_id").agg(F.min("lang_pred").alias("lang_pred"))
-    kept = skew_join(docs.select(*COLUMNS), named, ["doc_id"])
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    """Drops documents of undetermined language and names the language of those that had none.
+
+    The texts stay where they were read. Without a training row nothing can be told and nothing goes.
+    """
+    docs = docs.select(*COLUMNS)
+    try:
+        model = language.fit(docs)
+    except ValueError:
+        return docs
+    named = docs.withColumn("_lang", language.predicted(spark, model)("text")).where(F.col("_lang") != language.UNDETERMINED)
+    return named.withColumn("lang", F.coalesce("lang", "_lang")).select(*COLUMNS)
 
 
 def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier scores below its threshold."""
-    labels = table(spark, sf_dir, "labels")
-    return _keep(docs, quality.quality_scores(docs, labels).where("predicted = 1"))
+    """Drops documents that the quality classifier scores below its threshold; the texts stay where they were read."""
+    docs = docs.select(*COLUMNS)
+    weights = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.where(quality.probability(spark, weights)("text") >= quality.THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays."""
-    return _keep(docs, neardup.minhash_near_dedup(docs).where("kept"))
+    """Of each group of near duplicates the document with the least id stays; rows without an id go.
+
+    Rows that repeat an id come down to one.
+    """
+    docs = docs.select(*COLUMNS).where("doc_id IS NOT NULL")
+    kept = written(neardup.minhash_near_dedup(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    return out.dropDuplicates(["doc_id"]) if kept.where("n > 1").take(1) else out
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

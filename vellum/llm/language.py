@@ -190,6 +190,22 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     return Model.fit(samples)
 
 
+def predicted(spark, model: Model):
+    """A column function: the predicted language of a text, for plans that go on with the row."""
+    sent = spark.sparkContext.broadcast((model.languages, model.tables))
+
+    @F.pandas_udf("string")
+    def name(texts: pd.Series) -> pd.Series:
+        own, every, out = Model(*sent.value), ["" if t is None else t for t in texts], []
+        for first, last in _slices(every):
+            share, worded = own.infer(every[first:last])
+            share = np.round(share.astype(np.float64), 6)
+            out += [own.languages[k] if w else UNDETERMINED for k, w in zip(share.argmax(axis=1), worded)]
+        return pd.Series(out)
+
+    return name.asNondeterministic()  # one evaluation, wherever the column is used
+
+
 def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, languages) for each row.
 

@@ -7,7 +7,7 @@ Texts with equal shingle sets form a class, stood for by its least doc_id; from
 representatives are handled, so thousands of copies cost one row. Within a band's bucket every member
 is paired with two centres (the least id and a pseudo-random one), and the pairs are verified on full sets.
 Where that leaves a bucket of three or more in several components, all pairs of members from different
-components are compared by signature in blocks of bounded size and the likely ones verified as well, so
+components are compared by signature in blocks of bounded size and the likely ones verified there, so
 the components are those of all candidate pairs although dense buckets never emit their pairs.
 """
 
@@ -26,7 +26,8 @@ from .components import components
 WORDS, BANDS, ROWS = 5, 24, 5
 SIGNATURE = BANDS * ROWS
 LINK_NUMERATOR, LINK_DENOMINATOR = 85, 100
-BLOCK = 512
+BLOCK = 256
+FILTER_BITS = 26
 
 
 def _permute(x: np.ndarray, odd1: int, odd2: int, offset: int) -> np.ndarray:
@@ -93,27 +94,52 @@ def signed(docs: DataFrame, sign=circulant_signatures, bands: int = BANDS, rows:
     )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) of doc ids whose full shingle sets are alike enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
+def _id_filter(ids: DataFrame) -> dict[int, bytes]:
+    """A bitmap of hashed doc ids, of at most 2**FILTER_BITS bits: it lets every id of ``ids`` pass and few others.
+
+    Spark builds it in pieces of 4 KB; what reaches the driver is bounded by FILTER_BITS whatever the number of ids.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    pieces = ids.select((place + 1).alias("h"))  # Spark's bitmaps count from 1.groupBy(F.expr("bitmap_bucket_number(h)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits"))
+    return {r["n"]: bytes(r["bits"]) for r in pieces.collect()}
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, members) with the shingle hashes of every document in ``ids``, and of a few that the filter lets pass.
+
+    The documents are scanned once more and only the sets leave the scan; no text shuffles.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
 
     def sets(parts):
+        pieces = sent.value
         for part in parts:
-            yield pd.DataFrame({"doc_id": part["doc_id"], "members": [shingle_hashes(t, width).tobytes() if t else b"" for t in part["text"]]})
+            for at in range(0, len(part), 1024):
+                pdf = part.iloc[at : at + 1024]
+                hit = [bool((piece := pieces.get(h // 32768 + 1)) and piece[h % 32768 // 8] >> h % 8 & 1) for h in pdf["h"].tolist()]
+                pdf = pdf[hit]
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "members": [shingle_hashes(t, width).tobytes() for t in pdf["text"]]})
+
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("h"))
+    return rows.mapInPandas(sets, "doc_id long, members binary")
 
-    # Rows that repeat a doc_id with another text stand by the least one, as their class does.
-    members = written(texts.mapInPandas(sets, "doc_id long, members binary"), "members").groupBy("doc_id").agg(F.min("members").alias("members"))
+
+def _alike(a: np.ndarray, b: np.ndarray, numerator: int, denominator: int) -> bool:
+    """Whether denominator * |intersection| >= numerator * |union| for two sorted arrays of distinct values."""
+    if not len(a) or not len(b) or denominator * min(len(a), len(b)) < numerator * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return denominator * shared >= numerator * (len(both) - shared)
+
+
+def _verified(pairs: DataFrame, members: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) of doc ids whose full shingle sets are alike enough."""
 
     def alike(parts):
         for part in parts:
-            keep = []
-            for x, y in zip(part["x"], part["y"]):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = 0
-                if denominator * min(len(a), len(b)) >= numerator * max(len(a), len(b)):
-                    shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(shared > 0 and denominator * shared >= numerator * (len(a) + len(b) - shared))
+            keep = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), numerator, denominator) for x, y in zip(part["x"], part["y"])]
             yield part.loc[keep, ["a", "b"]]
 
     one = skew_join(pairs, members.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), ["a"])
@@ -121,21 +147,31 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, numerator: int, den
     return two.select("a", "b", "x", "y").mapInPandas(alike, "a long, b long")
 
 
-def _cross_pairs(least: float):
-    """Pairs of one block pair of a bucket that lie in different components and whose sketches agree."""
+def _cross_links(least: float, numerator: int, denominator: int):
+    """A forest of the links between members of one block pair of a bucket that lie in different components.
+
+    Pairs whose sketches agree are verified on full sets, unless a link found here has joined their components, or
+    they share a bucket of a lower band, whose task takes them.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
         sketch = np.stack([np.frombuffer(s, np.uint8) for s in pdf["sketch"]])
-        rep, root, block = pdf["rep"].to_numpy(), pdf["root"].to_numpy(), pdf["block"].to_numpy()
+        bands = np.stack(pdf["bands"].to_list())
+        sets = [np.frombuffer(m, np.uint64) for m in pdf["members"]]
+        rep, root, block = pdf["rep"].to_numpy(), pdf["root"].to_numpy().copy(), pdf["block"].to_numpy()
+        band = int(np.flatnonzero(bands[0] == pdf["bucket"].iloc[0])[0])
         left, right = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        rows, found = np.flatnonzero(block == left), []
-        columns = np.flatnonzero(block == right)
+        rows, columns, found = np.flatnonzero(block == left), np.flatnonzero(block == right), []
         for r in rows:
             others = columns[(root[columns] != root[r]) & ((rep[columns] > rep[r]) if left == right else True)]
             if len(others):
-                near = others[(sketch[others] == sketch[r]).mean(axis=1) >= least]
-                found += [(min(rep[r], x), max(rep[r], x)) for x in rep[near]]
+                others = others[(sketch[others] == sketch[r]).mean(axis=1) >= least]
+                others = others[~(bands[others, :band] == bands[r, :band]).any(axis=1)]
+            for c in others:
+                if root[c] != root[r] and _alike(sets[r], sets[c], numerator, denominator):
+                    found.append((rep[r], rep[c]))
+                    root[root == root[c]] = root[r]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
@@ -162,25 +198,24 @@ def link_components(docs: DataFrame, sign=circulant_signatures, bands: int = BAN
     shared = written(skew_join(members, buckets, ["bucket"]).select("bucket", "n", "rep", "least", "any"), "shared")
     stars = shared.select("rep", F.explode(F.array("least", "any")).alias("centre")).where("rep <> centre")
     tested = written(stars.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct(), "pairs")
-    links = written(_verified(tested, docs, width, numerator, denominator), "links")
+    candidates = tested.select(F.col("a").alias("doc_id")).union(tested.select(F.col("b").alias("doc_id"))).distinct()
+    # A doc_id that repeats with other texts stands by its least set, in every pair alike.
+    members = written(written(shingle_sets(docs, candidates, width), "sets").groupBy("doc_id").agg(F.min("members").alias("members")), "members")
+    links = written(_verified(tested, members, numerator, denominator), "links")
     roots = written(components(links), "roots")
 
     # Buckets of three or more that still hold several components: the pairs that no star tested.
     wide = shared.where("n > 2").select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     torn = wide.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
     rest = skew_join(wide, torn, ["bucket"])
-    rest = rest.join(classes.select("rep", "sketch"), "rep")
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = rest.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "rep", "root", "sketch"
-    )
+    rest = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bodies = classes.select("rep", "sketch", "bands").join(members.withColumnRenamed("doc_id", "rep"), "rep")
+    rest = rest.join(bodies, "rep").select("bucket", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "rep", "root", "sketch", "bands", "members")
     threshold = numerator / denominator
     likely = threshold - 5 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
-    crossing = rest.groupBy("bucket", "i", "j").applyInPandas(_cross_pairs(likely), "a long, b long").distinct()
-    crossing = written(crossing.join(tested, ["a", "b"], "left_anti"), "crossing")
-    more = _verified(crossing, docs, width, numerator, denominator)
-    final = written(components(links.union(more)), "roots")
+    crossing = rest.groupBy("bucket", "i", "j").applyInPandas(_cross_links(likely, numerator, denominator), "a long, b long")
+    final = written(components(links.union(crossing)), "roots")
 
     named = classes.select("set_key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     out = skew_join(rows_of.select("doc_id", "n_shingles", "set_key"), written(named, "named"), ["set_key"], "left")

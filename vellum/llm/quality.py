@@ -181,6 +181,18 @@ def scored(docs: DataFrame, weights: dict[str, np.ndarray], threshold: float = T
     return columns.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def probability(spark, weights: dict[str, np.ndarray]):
+    """A column function: the score of a text, for plans that go on with the row."""
+    sent = spark.sparkContext.broadcast(weights)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        every = ["" if t is None else t for t in texts]
+        return pd.Series(np.concatenate([score_texts(sent.value, every[i : i + 256]) for i in range(0, len(every), 256)] or [np.empty(0)]))
+
+    return score.asNondeterministic()  # one evaluation, wherever the column is used
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labelled training rows and score every document."""
     return scored(docs, fit(docs, labels))
