@@ -100,7 +100,8 @@ def _id_filter(ids: DataFrame) -> dict[int, bytes]:
     Spark builds it in pieces of 4 KB; what reaches the driver is bounded by FILTER_BITS whatever the number of ids.
     """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    pieces = ids.select((place + 1).alias("h"))  # Spark's bitmaps count from 1.groupBy(F.expr("bitmap_bucket_number(h)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits"))
+    # Spark's bitmaps count from 1.
+    pieces = ids.select((place + 1).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits"))
     return {r["n"]: bytes(r["bits"]) for r in pieces.collect()}
 
 
