@@ -1,6 +1,547 @@
-"""Registered queries of the governance operators and their SQL oracles."""
+"""Registered queries of the governance operators and their SQL oracles.
+
+Queries run on whole tables. The text tables have no Markdown structure, keys or directives, so those rules get lines that are
+assembled from the relational tables by the same rule in Spark and in SQL.
+"""
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..config import CheckSettings, Settings
+from ..functions import fixed
+from ..functions.text import lines as line_structs
+from ..operators import assistant, graph, parse, reference_pages, rules
+from ..operators.suppress import drop_suppressed
+from ..sources import files
+from . import engine
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query under ``name`` with the SQL that gives its rows."""
+
+    def register(run):
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return run
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- lines --------------------------------------------------------------------------------------
+
+_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def lines_sql(source: str, key: str, text: str) -> str:
+    """SQL of (file, line_no, line) for the rows of a relation."""
+    return f"""
+  SELECT file, i AS line_no, parts[i] AS line FROM (
+    SELECT file, parts, unnest(range(1, len(parts) + 1)) AS i FROM (
+      SELECT file, CASE WHEN parts[len(parts)] = '' THEN parts[1:len(parts) - 1] ELSE parts END AS parts FROM (
+        SELECT {key} AS file, string_split_regex({text}, '{_LINE_END}') AS parts FROM {source} WHERE {text} IS NOT NULL)))"""
+
+
+def lines_of(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(file, line_no, line)."""
+    return rows.select(F.col(key).alias("file"), F.explode(line_structs(F.col(text))).alias("l")).select("file", (F.col("l.i") + 1).alias("line_no"), "l.line")
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_of(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+_DOCUMENT_LINES = "l AS (" + lines_sql("documents", "doc_id", "text") + ")"
+
+
+def matches_sql(pattern: str, lines: str = "l", keep: str = "TRUE") -> str:
+    """SQL of (file, line_no, line, m, col): matches and where they start."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT file, line_no, line, ms[k] AS m,
+    1 + CAST(list_sum(list_transform(ss[1:k], lambda x: len(x))) AS BIGINT) + CAST(coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: len(x))), 0) AS BIGINT) AS col
+  FROM (SELECT file, line_no, line, ms, ss, unnest(range(1, len(ms) + 1)) AS k FROM (
+    SELECT file, line_no, line, regexp_extract_all(line, '{quoted}') AS ms, string_split_regex(line, '{quoted}') AS ss FROM {lines} WHERE regexp_matches(line, '{quoted}')))
+  WHERE {keep}"""
+
+
+def _only(name: str, **options) -> Settings:
+    return Settings(checks={name: CheckSettings(severity=rules.DEFAULT_SEVERITY[name], options=options)})
+
+
+_SHOWN = ["file", F.col("line_no").cast("long").alias("line_no"), "rule_id", "message", "severity", F.col("column").cast("long").alias("col"), "context"]
+
+# ---- personal data and keys ------------------------------------------------------------------------
+
+_LUHN = """length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i:
+      CASE WHEN (length(d) - i) % 2 = 1 THEN CASE WHEN CAST(d[i] AS INT) * 2 > 9 THEN CAST(d[i] AS INT) * 2 - 9 ELSE CAST(d[i] AS INT) * 2 END ELSE CAST(d[i] AS INT) END)) % 10 = 0"""
+
+
+def _pii_sql(name: str, lines: str = "l") -> str:
+    pattern, message = fixed.PII[name]
+    keep = "TRUE"
+    if name == "credit-card":
+        keep = "(SELECT " + _LUHN + " FROM (SELECT regexp_replace(ms[k], '[^0-9]', '', 'g') AS d))"
+    return f"""SELECT file, line_no, 'pii-detected.{name}' AS rule_id, '{message}' AS message, 'error' AS severity, col,
+  trim(regexp_replace(line, '{pattern}', '[REDACTED]', 'g')) AS context FROM ({matches_sql(pattern, lines, keep)})"""
+
+
+def _pii(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        others = [n for n in fixed.PII if n != name]
+        settings = _only("pii-detected", disabled_subtypes=others)
+        return rules.scan(document_lines(spark, sf_dir), {"pii-detected": rules.pii}, settings).select(*_SHOWN)
+
+    return run
+
+
+for _name, _subtype in (("pii_email", "email"), ("pii_phone", "phone-us"), ("pii_card_luhn", "credit-card")):
+    query(_name, f"WITH {_DOCUMENT_LINES} {_pii_sql(_subtype)}")(_pii(_subtype))
+
+_TEXTS = (("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("conversations", "conv_id", "text"))
+
+
+@query("pii_summary", "WITH " + ", ".join(f"l_{t} AS ({lines_sql(t, k, c)})" for t, k, c in _TEXTS) + " SELECT source, rule_id, count(*) AS findings, count(DISTINCT file) AS rows_hit FROM ("
+       + " UNION ALL ".join(f"SELECT '{t}' AS source, rule_id, file FROM ({_pii_sql(n, 'l_' + t)})" for t, _, _ in _TEXTS for n in fixed.PII) + ") GROUP BY 1, 2")
+def pii_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data by table and kind: one scan of each table."""
+    out = None
+    for name, key, text in _TEXTS:
+        found = rules.scan(lines_of(table(spark, sf_dir, name), key, text), {"pii-detected": rules.pii}, Settings()).select(F.lit(name).alias("source"), "rule_id", "file")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("source", "rule_id").agg(F.count("*").alias("findings"), F.countDistinct("file").alias("rows_hit"))
+
+
+_KEY_LINES_SQL = """l AS (
+  SELECT c_custkey AS file, 1 AS line_no, concat(' SSN: ', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0'), '-', lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0'), '-',
+    lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0'), CASE WHEN c_custkey % 3 = 0 THEN '1' ELSE ' end ' END) AS line FROM customer
+  UNION ALL SELECT c_custkey, 2, concat('key=AKIA', upper(substr(sha256(CAST(c_custkey AS VARCHAR)), 1, CAST(12 + c_custkey % 8 AS INT))), ' ASIA', upper(substr(sha256(c_name), 1, 16))) FROM customer
+  UNION ALL SELECT c_custkey, 3, concat(CASE WHEN c_custkey % 2 = 0 THEN 'AWS_Secret_Access_Key = "' ELSE 'secret key: ' END, substr(sha256(c_name), 1, CAST(38 + c_custkey % 4 AS INT)), '"') FROM customer)"""
+
+
+def key_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three lines for each customer: a number of SSN shape, key ids and a secret assignment, some of the wrong length."""
+    c = table(spark, sf_dir, "customer")
+    digits = lambda n: F.lpad((F.col("c_custkey") % 10**n).cast("string"), n, "0")
+    sha = lambda x: F.sha2(x.cast("string"), 256)
+    one = F.concat(F.lit(" SSN: "), digits(3), F.lit("-"), digits(2), F.lit("-"), digits(4), F.when(F.col("c_custkey") % 3 == 0, "1").otherwise(" end "))
+    two = F.concat(F.lit("key=AKIA"), F.upper(F.substr(sha(F.col("c_custkey")), F.lit(1), (12 + F.col("c_custkey") % 8).cast("int"))), F.lit(" ASIA"), F.upper(F.substring(sha(F.col("c_name")), 1, 16)))
+    three = F.concat(F.when(F.col("c_custkey") % 2 == 0, 'AWS_Secret_Access_Key = "').otherwise("secret key: "), F.substr(sha(F.col("c_name")), F.lit(1), (38 + F.col("c_custkey") % 4).cast("int")), F.lit('"'))
+    return c.select(F.col("c_custkey").alias("file"), F.posexplode(F.array(one, two, three)).alias("i", "line")).select("file", (F.col("i") + 1).alias("line_no"), "line")
+
+
+@query("pii_ssn", f"WITH {_KEY_LINES_SQL} {_pii_sql('ssn')}")
+def pii_ssn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = _only("pii-detected", disabled_subtypes=["email", "phone-us", "credit-card"])
+    return rules.scan(key_lines(spark, sf_dir), {"pii-detected": rules.pii}, settings).select(*_SHOWN)
+
+
+_SECRET_SQL = "(?i)" + fixed.AWS_SECRET.replace("'", "''")
+_REDACTED_SQL = f"trim(regexp_replace(regexp_replace(line, '{fixed.AWS_KEY_ID}', '[REDACTED_KEY_ID]', 'g'), '{_SECRET_SQL}', '[REDACTED_SECRET]', 'g'))"
+
+
+@query("aws_keys", f"""WITH {_KEY_LINES_SQL}
+SELECT file, line_no, 'aws-key-exposed' AS rule_id, concat('Possible AWS access key ID detected: ', substr(m, 1, 8), '...') AS message, 'error' AS severity, CAST(NULL AS BIGINT) AS col, {_REDACTED_SQL} AS context
+FROM (SELECT file, line_no, line, unnest(regexp_extract_all(line, '{fixed.AWS_KEY_ID}')) AS m FROM l)
+UNION ALL
+SELECT file, line_no, 'aws-key-exposed', 'Possible AWS secret access key detected.', 'error', NULL, {_REDACTED_SQL}
+FROM (SELECT file, line_no, line, unnest(regexp_extract_all(line, '{_SECRET_SQL}')) AS m FROM l)""")
+def aws_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.scan(key_lines(spark, sf_dir), {"aws-key-exposed": rules.aws_keys}, Settings()).select(*_SHOWN)
+
+
+@query("line_length", f"""WITH {_DOCUMENT_LINES}
+SELECT file, line_no, 'line-length' AS rule_id, concat('Line exceeds 120 characters (', len(line), ').') AS message, 'info' AS severity, CAST(121 AS BIGINT) AS col, CAST(NULL AS VARCHAR) AS context
+FROM l WHERE len(line) > 120""")
+def line_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.scan(document_lines(spark, sf_dir), {"line-length": rules.line_length}, Settings()).select(*_SHOWN)
+
+
+# ---- prose --------------------------------------------------------------------------------------------
+
+
+def _passive_sql(keep: str) -> str:
+    return f"""WITH {_DOCUMENT_LINES}
+SELECT file, line_no, 'passive-voice' AS rule_id, concat('Passive voice detected: ''', m, '''') AS message, 'warning' AS severity, col, trim(line) AS context
+FROM ({matches_sql('(?i)' + fixed.PASSIVE, 'l', keep)})"""
+
+
+@query("passive_voice", _passive_sql("lower(ms[k]) NOT IN (" + ", ".join(f"'{s}'" for s in fixed.STATIVE) + ")"))
+def passive_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.scan(document_lines(spark, sf_dir), {"passive-voice": rules.passive_voice}, Settings()).select(*_SHOWN)
+
+
+@query("passive_voice_with_statives", _passive_sql("TRUE"))
+def passive_voice_with_statives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.scan(document_lines(spark, sf_dir), {"passive-voice": rules.passive_voice}, _only("passive-voice", allow_stative=False)).select(*_SHOWN)
+
+
+def _terms_sql(terms: list[tuple], check: str) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT file, line_no, '{check}' AS rule_id, concat('Terminology: ''', m, ''' -> use ''{preferred}'' instead.') AS message, '{severity}' AS severity, col, trim(line) AS context
+FROM ({matches_sql(pattern if case else '(?i)' + pattern)})""" for pattern, preferred, severity, case in terms)
+
+
+_GENERAL = [(*t, False) for t in fixed.GENERAL_TERMS]
+_PRODUCT = [(p, w, "info", True) for p, w in fixed.PRODUCT_TERMS]
+
+
+@query("terminology", f"WITH {_DOCUMENT_LINES} {_terms_sql(_GENERAL, 'terminology')}")
+def terminology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.scan(document_lines(spark, sf_dir), {"terminology": rules.terminology}, Settings()).select(*_SHOWN)
+
+
+_GENERAL_WORDS = ["blacklist", "the Whitelist.", "master  branch", "MASTER", "slave", "just easy", "Obviously", "etc. and", "etc.", "please", "simplytic", "hers", "no term"]
+_PRODUCT_WORDS = ["VisionOS", "Vision OS", "visionOS", "swiftui", "Swift UI", "UIKit", "UI Kit", "xcode", "X-Code", "app store", "AppStore", "iCloud", "i Cloud", "OSX", "Mac OS", "iOS", "IOS", "watchos", "TVOS", "ipad os"]
+
+
+def _word_lines(spark: SparkSession, sf_dir: str, words: list[str]) -> DataFrame:
+    """A line for each part: its name between two entries of ``words``."""
+    p = table(spark, sf_dir, "part")
+    pick = lambda n: F.element_at(F.array(*[F.lit(w) for w in words]), (n % len(words) + 1).cast("int"))
+    line = F.concat(pick(F.col("p_partkey")), F.lit(" "), F.col("p_name"), F.lit(" "), pick(F.floor(F.col("p_partkey") / 7)))
+    return p.select(F.col("p_partkey").alias("file"), F.lit(1).alias("line_no"), line.alias("line"))
+
+
+def _word_lines_sql(words: list[str]) -> str:
+    every = "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    return f"l AS (SELECT p_partkey AS file, 1 AS line_no, concat({every}[p_partkey % {len(words)} + 1], ' ', p_name, ' ', {every}[CAST(floor(p_partkey / 7) AS BIGINT) % {len(words)} + 1]) AS line FROM part)"
+
+
+@query("terminology_general", f"WITH {_word_lines_sql(_GENERAL_WORDS)} {_terms_sql(_GENERAL, 'terminology')}")
+def terminology_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.scan(_word_lines(spark, sf_dir, _GENERAL_WORDS), {"terminology": rules.terminology}, Settings()).select(*_SHOWN)
+
+
+@query("terminology_product", f"WITH {_word_lines_sql(_PRODUCT_WORDS)} {_terms_sql(_PRODUCT, 'docc-terminology')}")
+def terminology_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.scan(_word_lines(spark, sf_dir, _PRODUCT_WORDS), {"docc-terminology": rules.product_terminology}, Settings()).select(*_SHOWN)
+
+
+# ---- structure ------------------------------------------------------------------------------------------
+
+_RANKED_SQL = """r AS (
+  SELECT l_orderkey AS file, l_partkey, l_suppkey, l_returnflag, l_linestatus,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag, l_linestatus) AS line_no
+  FROM lineitem)"""
+
+
+def ranked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items numbered within their order."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag", "l_linestatus")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", F.row_number().over(order).alias("line_no"))
+
+
+@query("heading_hierarchy", f"""WITH {_RANKED_SQL}, h AS (SELECT file, line_no, CAST(1 + l_partkey % 4 AS INT) AS level FROM r),
+b AS (SELECT *, lag(level) OVER (PARTITION BY file ORDER BY line_no) AS before FROM h)
+SELECT file, line_no, 'heading-hierarchy' AS rule_id, concat('Heading level skipped: h', before, ' -> h', level) AS message, concat('Use h', before + 1, ' instead.') AS suggestion FROM b WHERE level > before + 1""")
+def heading_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headings = ranked_items(spark, sf_dir).select("file", F.col("line_no").alias("ord"), F.lit("x").alias("text"), (1 + F.col("l_partkey") % 4).cast("int").alias("level"), "line_no")
+    return rules.heading_hierarchy(headings, Settings()).select("file", F.col("line_no").cast("long").alias("line_no"), "rule_id", "message", "suggestion")
+
+
+_TITLES_SQL = """t AS (SELECT p_partkey AS file, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN concat(upper(substr(p_name, 1, 1)), substr(p_name, 2), ' of the Day') ELSE concat('The v1.', p_size, ' ', upper(p_name), ' guide') END AS text FROM part)"""
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("p_name")
+    text = F.when(F.col("p_partkey") % 3 == 0, name).when(F.col("p_partkey") % 3 == 1, F.concat(F.upper(F.substring(name, 1, 1)), F.expr("substr(p_name, 2)"), F.lit(" of the Day")))
+    text = text.otherwise(F.concat(F.lit("The v1."), F.col("p_size").cast("string"), F.lit(" "), F.upper(name), F.lit(" guide")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), F.lit(0).alias("ord"), text.alias("text"), F.lit(1).alias("level"), F.lit(1).alias("line_no"))
+
+
+@query("heading_casing_sentence", f"""WITH {_TITLES_SQL}
+SELECT file, concat('Heading not in sentence case: ''', text, '''') AS message FROM t WHERE regexp_matches(string_split(text, ' ')[1], '^\\p{{Ll}}\\p{{L}}*$')""")
+def heading_casing_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.heading_casing(_titles(spark, sf_dir), Settings()).select("file", "message")
+
+
+@query("heading_casing_title", f"""WITH {_TITLES_SQL}, w AS (SELECT file, text, unnest(string_split(text, ' ')) AS word, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM t)
+SELECT file, concat('Heading not in title case: ''', any_value(text), '''') AS message FROM w
+WHERE NOT regexp_matches(word, '[/_.]') AND (i = 1 OR lower(word) NOT IN ({", ".join(f"'{x}'" for x in fixed.SMALL_WORDS)})) AND regexp_matches(word, '^\\p{{L}}+$') AND NOT regexp_matches(word, '^\\p{{Lu}}')
+GROUP BY file""")
+def heading_casing_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.heading_casing(_titles(spark, sf_dir), _only("heading-casing", style="title")).select("file", "message")
+
+
+_MARKERS = {"A": "- ", "N": "* ", "R": "1. "}
+
+
+def _list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marker = F.when(F.col("l_returnflag") == "A", "- ").when(F.col("l_returnflag") == "N", "* ").otherwise("1. ")
+    line = F.when(F.col("l_partkey") % 7 == 0, "").when(F.col("l_partkey") % 11 == 0, "prose").otherwise(F.concat(F.when(F.col("l_suppkey") % 5 == 0, "  ").otherwise(""), marker, F.lit("item")))
+    return ranked_items(spark, sf_dir).select("file", "line_no", line.alias("line"))
+
+
+@query("list_consistency", f"""WITH {_RANKED_SQL},
+l AS (SELECT file, line_no, l_partkey % 7 = 0 AS blank, CASE WHEN l_suppkey % 5 = 0 THEN 2 ELSE 0 END AS indent, CASE l_returnflag WHEN 'A' THEN '-' WHEN 'N' THEN '*' ELSE 'ordered' END AS marker
+  FROM r WHERE l_partkey % 7 = 0 OR l_partkey % 11 <> 0),
+b AS (SELECT *, sum(CASE WHEN blank THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line_no) AS blanks FROM l),
+s AS (SELECT *, CASE WHEN lag(indent) OVER w = indent AND lag(blanks) OVER w = blanks THEN 0 ELSE 1 END AS starts FROM b WHERE NOT blank WINDOW w AS (PARTITION BY file ORDER BY line_no)),
+i AS (SELECT *, sum(starts) OVER (PARTITION BY file ORDER BY line_no) AS island FROM s)
+SELECT file, min(line_no) AS line_no, concat('Mixed list markers in list: ', array_to_string(list_sort(list(DISTINCT marker)), ', ')) AS message FROM i GROUP BY file, island HAVING count(*) >= 2 AND count(DISTINCT marker) > 1""")
+def list_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.list_consistency(_list_lines(spark, sf_dir), Settings()).select("file", F.col("line_no").cast("long").alias("line_no"), "message")
+
+
+@query("code_block_language", f"""WITH {_RANKED_SQL}
+SELECT file, line_no, 'Code block missing language tag.' AS message, 'warning' AS severity FROM r WHERE l_linestatus = 'O'""")
+def code_block_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = ranked_items(spark, sf_dir).select("file", F.col("line_no").alias("ord"), F.when(F.col("l_linestatus") != "O", F.lit("python")).alias("language"), "line_no")
+    return rules.code_block_language(blocks, Settings()).select("file", F.col("line_no").cast("long").alias("line_no"), "message", "severity")
+
+
+# ---- suppression ----------------------------------------------------------------------------------------------
+
+_DIRECTIVES = {0: "<!-- vellum-disable -->", 1: "<!--vellum-disable line-length-->", 2: "<!-- vellum-enable -->", 3: "<!-- vellum-enable line-length -->", 4: "<!-- vellum-disable other -->"}
+
+
+@query("suppression", f"""WITH {_RANKED_SQL},
+l AS (SELECT file, line_no, l_partkey % 13 AS d, CASE WHEN l_suppkey % 2 = 0 THEN 'line-length' ELSE 'other.sub' END AS rule_id FROM r),
+k AS (SELECT * FROM (VALUES ('')) t(key) UNION ALL SELECT 'line-length' UNION ALL SELECT 'other'),
+e AS (SELECT l.*, key, CASE WHEN d = 2 OR (d = 3 AND key = 'line-length') THEN 0 WHEN (d = 0 AND key = '') OR (d = 1 AND key = 'line-length') OR (d = 4 AND key = 'other') THEN 1 END AS state FROM l CROSS JOIN k),
+a AS (SELECT *, last_value(state IGNORE NULLS) OVER (PARTITION BY file, key ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS active FROM e),
+c AS (SELECT file, line_no, rule_id, max(CASE WHEN (key = '' OR key = rule_id) AND CASE WHEN d IN (2, 3) THEN FALSE WHEN d IN (0, 1, 4) THEN state = 1 ELSE active = 1 END THEN 1 ELSE 0 END) AS gone FROM a GROUP BY 1, 2, 3)
+SELECT file, line_no, rule_id FROM c WHERE gone = 0""")
+def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ranked_items(spark, sf_dir)
+    choice = F.lit("prose")
+    for n, text in _DIRECTIVES.items():
+        choice = F.when(F.col("l_partkey") % 13 == n, text).otherwise(choice)
+    found = rows.select("file", "line_no", F.when(F.col("l_suppkey") % 2 == 0, "line-length").otherwise("other.sub").alias("rule_id"))
+    return drop_suppressed(found, rows.select("file", "line_no", choice.alias("line"))).select("file", F.col("line_no").cast("long").alias("line_no"), "rule_id")
+
+
+# ---- reference pages --------------------------------------------------------------------------------------------
+
+_PLATFORM_NAMES = [*fixed.PLATFORM_VERSIONS, "Linux"]
+
+
+def _part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, json): a page for each part, which refers to the next parts and to one outside."""
+    key = lambda n: F.concat(F.lit("doc://com.apple.parts/documentation/Parts/p"), n.cast("string"))
+    k = F.col("p_partkey")
+    platform = F.struct(
+        F.element_at(F.array(*[F.lit(n) for n in _PLATFORM_NAMES]), (k % len(_PLATFORM_NAMES) + 1).cast("int")).alias("name"), F.concat((1 + F.col("p_size") % 20).cast("string"), F.lit(".1")).alias("introducedAt"),
+        (k % 4 == 0).alias("beta"), (k % 5 == 0).alias("deprecated"),
+    )
+    text = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"), F.lit(None).cast("string").alias("code"))
+    code = lambda t: F.struct(F.lit("codeVoice").alias("type"), F.lit(None).cast("string").alias("text"), t.alias("code"))
+    reference = lambda n: F.struct(F.concat(F.lit("/parts/"), n.cast("string")).alias("url"))
+    page = F.struct(
+        F.struct(key(k).alias("url")).alias("identifier"),
+        F.when(k % 6 != 0, F.array(text(F.col("p_name")), code(F.col("p_type")))).otherwise(F.array(text(F.lit(" ")))).alias("abstract"),
+        F.struct(F.initcap("p_name").alias("title"), F.lit("symbol").alias("role"), F.array(platform).alias("platforms")).alias("metadata"),
+        F.array(F.struct(F.array(key(k * 2), key(k * 2 + 1)).alias("identifiers"))).alias("topicSections"),
+        F.create_map(key(k * 2), reference(k * 2), key(k * 2 + 1), reference(k * 2 + 1), F.concat(F.lit(fixed.EXTERNAL_PREFIX), k.cast("string")), reference(k)).alias("references"),
+    )
+    return table(spark, sf_dir, "part").select(key(k).alias("key"), F.to_json(page).alias("json"))
+
+
+_KEY_SQL = "'doc://com.apple.parts/documentation/Parts/p'"
+_PAGES_SQL = f"""p AS (SELECT *, concat({_KEY_SQL}, p_partkey) AS file, [{", ".join(f"'{n}'" for n in _PLATFORM_NAMES)}][p_partkey % {len(_PLATFORM_NAMES)} + 1] AS name,
+  concat(1 + p_size % 20, '.1') AS since, CAST(1 + p_size % 20 AS DOUBLE) AS major,
+  [{", ".join(str(v) for v in fixed.PLATFORM_VERSIONS.values())}, NULL][p_partkey % {len(_PLATFORM_NAMES)} + 1] AS now FROM part)"""
+
+
+@query("missing_description", f"WITH {_PAGES_SQL} SELECT file, 'docc-missing-description' AS rule_id, CAST(1 AS INT) AS line, 'warning' AS severity FROM p WHERE p_partkey % 6 = 0")
+def missing_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine.ReferenceEngine(_part_pages(spark, sf_dir)).lint()
+    return found.where("rule_id = 'docc-missing-description'").select("file", "rule_id", "line", "severity")
+
+
+@query("stale_platforms", f"""WITH {_PAGES_SQL}
+SELECT file, concat('Platform ''', name, ''' is marked as deprecated.') AS message, 'warning' AS severity FROM p WHERE p_partkey % 5 = 0
+UNION ALL SELECT file, concat('Platform ''', name, ' ', since, ''' is marked beta but the OS version has shipped.'), 'warning' FROM p WHERE p_partkey % 4 = 0 AND major <= now
+UNION ALL SELECT file, concat('Platform ''', name, ''' introduced at ', since, ', ', CAST(now - major AS INT), ' major versions behind current (', CAST(now AS INT), '.0).'), 'info' FROM p WHERE now - major >= 5""")
+def stale_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine.ReferenceEngine(_part_pages(spark, sf_dir)).lint()
+    return found.where("rule_id = 'docc-stale-platform'").select("file", "message", "severity")
+
+
+@query("broken_crossref", f"""WITH {_PAGES_SQL}, e AS (SELECT file, p_partkey * 2 AS n FROM p UNION ALL SELECT file, p_partkey * 2 + 1 FROM p)
+SELECT file, concat('Broken cross-reference: ', {_KEY_SQL}, n) AS message, concat('Verify the symbol path exists: /parts/', n) AS suggestion FROM e WHERE n NOT IN (SELECT p_partkey FROM part)""")
+def broken_crossref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine.ReferenceEngine(_part_pages(spark, sf_dir)).lint()
+    return found.where("rule_id = 'docc-broken-crossref'").select("file", "message", "suggestion")
+
+
+@query("page_metadata", f"""WITH {_PAGES_SQL}
+SELECT file AS identifier, array_to_string(list_transform(string_split(p_name, ' '), lambda w: concat(upper(substr(w, 1, 1)), lower(substr(w, 2)))), ' ') AS title, 'symbol' AS kind,
+  CASE WHEN p_partkey % 6 <> 0 THEN concat(p_name, ' ', p_type) ELSE ' ' END AS abstract, 1 AS platforms, concat({_KEY_SQL}, p_partkey * 2, ',', {_KEY_SQL}, p_partkey * 2 + 1) AS children FROM p""")
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = engine.ReferenceEngine(_part_pages(spark, sf_dir)).metadata()
+    return rows.select("identifier", "title", "kind", "abstract", F.size("platforms").alias("platforms"), F.array_join("children", ",").alias("children"))
+
+
+@query("keyword_search", f"""WITH {_PAGES_SQL} SELECT file AS identifier FROM p WHERE contains(lower(p_name), 'ar') OR (p_partkey % 6 <> 0 AND contains(lower(concat(p_name, ' ', p_type)), 'ar'))""")
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.ReferenceEngine(_part_pages(spark, sf_dir)).search("AR").select("identifier")
+
+
+@query("crawl", f"""WITH RECURSIVE b(n, depth) AS (
+  SELECT CAST(1 AS BIGINT), 0 UNION ALL SELECT n * 2 + x, depth + 1 FROM b CROSS JOIN (SELECT unnest([0, 1]) AS x) WHERE depth < 6 AND n * 2 + x IN (SELECT p_partkey FROM part))
+SELECT concat({_KEY_SQL}, n) AS node, min(depth) AS depth FROM b GROUP BY 1""")
+def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.ReferenceEngine(_part_pages(spark, sf_dir)).crawl("doc://com.apple.parts/documentation/Parts/p1", 6)
+
+
+@query("crawl_orders", """WITH RECURSIVE e AS (
+  SELECT DISTINCT concat('o', l_orderkey) AS src, concat('p', l_partkey) AS dst FROM lineitem UNION SELECT DISTINCT concat('p', l_partkey), concat('o', l_orderkey) FROM lineitem),
+r AS (SELECT concat('o', min(l_orderkey)) AS node FROM lineitem),
+b1 AS (SELECT DISTINCT dst AS node FROM e JOIN r ON src = r.node),
+b2 AS (SELECT DISTINCT dst AS node FROM e JOIN b1 ON src = b1.node),
+b3 AS (SELECT DISTINCT dst AS node FROM e JOIN b2 ON src = b2.node)
+SELECT node, min(depth) AS depth FROM (SELECT node, 0 AS depth FROM r UNION ALL SELECT node, 1 FROM b1 UNION ALL SELECT node, 2 FROM b2 UNION ALL SELECT node, 3 FROM b3) GROUP BY node""")
+def crawl_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph with cycles: orders and their parts, three links from the first order."""
+    items = table(spark, sf_dir, "lineitem")
+    o, p = F.concat(F.lit("o"), F.col("l_orderkey")), F.concat(F.lit("p"), F.col("l_partkey"))
+    edges = items.select(o.alias("src"), p.alias("dst")).union(items.select(p.alias("src"), o.alias("dst")))
+    roots = items.agg(F.min("l_orderkey").alias("m")).select(F.concat(F.lit("o"), "m").alias("node"))
+    return graph.crawl(spark, edges, roots, max_depth=3)
+
+
+@query("inline_flatten", """SELECT event_id, concat(event_type, ' ', user_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE concat(' ', event_type) END, ' see ', event_id) AS text FROM events""")
+def inline_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested inline content made of each event: text, code, a bold run that may be empty, an image and a reference."""
+
+    def one(kind, n, u, i):
+        bold = [] if i % 3 == 0 else [{"type": "emphasis", "inlineContent": [{"type": "text", "text": kind}]}]
+        return [{"type": "text", "text": kind}, {"type": "codeVoice", "code": str(u)}, {"type": "strong", "inlineContent": bold}, {"type": "image", "identifier": "x"},
+                {"type": "newTerm", "inlineContent": [{"type": "text", "text": "see"}, {"type": "reference", "identifier": str(i)}]}]
+
+    def flat(parts):
+        for part in parts:
+            part["text"] = [reference_pages.flattened(json.loads(json.dumps(one(k, 0, u, i)))) for k, u, i in zip(part["event_type"], part["user_id"], part["event_id"])]
+            yield part[["event_id", "text"]]
+
+    return table(spark, sf_dir, "events").select("event_id", "event_type", "user_id").mapInPandas(flat, "event_id long, text string")
+
+
+@query("identifier_url", f"""WITH i AS (SELECT url AS given, concat(CASE page_id % 4 WHEN 0 THEN '{fixed.EXTERNAL_PREFIX}' WHEN 1 THEN 'doc://com.apple.Parts/documentation/' WHEN 2 THEN 'doc://com.apple.parts/documentation/Parts/' ELSE 'https://x/' END, 'P', page_id) AS id, page_id FROM pages)
+SELECT page_id, id, page_id % 4 = 0 AS external, CASE WHEN page_id % 4 IN (1, 2) THEN concat('{fixed.PAGE_URL}/parts/p', page_id, '.json') END AS url FROM i""")
+def identifier_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.array(*[F.lit(x) for x in (fixed.EXTERNAL_PREFIX, "doc://com.apple.Parts/documentation/", "doc://com.apple.parts/documentation/Parts/", "https://x/")])
+    identifier = F.concat(F.element_at(heads, (F.col("page_id") % 4 + 1).cast("int")), F.lit("P"), F.col("page_id").cast("string"))
+    rows = table(spark, sf_dir, "pages").select("page_id", identifier.alias("id"))
+    return rows.select("page_id", "id", reference_pages.is_external(F.col("id")).alias("external"), reference_pages.identifier_url(F.col("id")).alias("url"))
+
+
+# ---- sources -------------------------------------------------------------------------------------------------------
+
+_ENDINGS = [".md", ".MARKDOWN", ".mdx", ".wiki", ".MediaWiki", ".txt", "md"]
+
+
+@query("path_routing", f"""WITH f AS (SELECT page_id, concat(CASE WHEN page_id % 5 = 0 THEN 'node_modules/' ELSE 'docs/node_modules/' END, 'p', page_id, [{", ".join(f"'{e}'" for e in _ENDINGS)}][page_id % {len(_ENDINGS)} + 1]) AS file FROM pages)
+SELECT page_id, file, CASE WHEN regexp_matches(lower(file), '\\.(md|markdown|mdx)$') THEN 'markdown' WHEN regexp_matches(lower(file), '\\.(wiki|mediawiki)$') THEN 'mediawiki' END AS format, page_id % 5 = 0 AS excluded FROM f""")
+def path_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = F.element_at(F.array(*[F.lit(e) for e in _ENDINGS]), (F.col("page_id") % len(_ENDINGS) + 1).cast("int"))
+    file = F.concat(F.when(F.col("page_id") % 5 == 0, "node_modules/").otherwise("docs/node_modules/"), F.lit("p"), F.col("page_id").cast("string"), ending)
+    rows = table(spark, sf_dir, "pages").select("page_id", file.alias("file"))
+    return rows.select("page_id", "file", parse.format_of(F.col("file")).alias("format"), files.excluded(F.col("file"), Settings().exclude).alias("excluded"))
+
+
+@query("incremental_cache", """WITH d AS (SELECT doc_id AS file, coalesce(text, '') AS content FROM documents), c AS (SELECT file, sha256(concat(content, chr(0), 'rules')) AS content_key FROM d WHERE file % 3 = 0
+  UNION ALL SELECT file, sha256(concat('older', content, chr(0), 'rules')) FROM d WHERE file % 3 = 1)
+SELECT d.file, sha256(concat(content, chr(0), 'rules')) AS content_key FROM d WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.file = d.file AND c.content_key = sha256(concat(d.content, chr(0), 'rules')))""")
+def incremental_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.coalesce("text", F.lit("")).alias("content"))
+    kept = docs.where("file % 3 <> 2").select("file", files.content_key(F.when(F.col("file") % 3 == 0, F.col("content")).otherwise(F.concat(F.lit("older"), F.col("content"))), "rules").alias("content_key"))
+    return files.changed(docs, kept, "rules").select("file", "content_key")
+
+
+# ---- assistant, search, summaries -------------------------------------------------------------------------------------------
+
+
+@query("assistant_budget", """SELECT conv_id, turn, role FROM (SELECT *, sum(len(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM conversations) WHERE s <= 400""")
+def assistant_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assistant.within_budget(table(spark, sf_dir, "conversations"), "conv_id", ["turn", "role", "text"], "text", 400).select("conv_id", "turn", "role")
+
+
+@query("assistant_issues", """SELECT CAST(event_id AS VARCHAR) AS file, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'Terminology issue found by LLM.' END AS message, 'terminology.llm' AS rule_id, 'info' AS severity,
+  CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS INT) END AS line FROM events WHERE event_id % 5 <> 0""")
+def assistant_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with one issue, with a bare one, and some that aren't JSON."""
+    full = F.concat(F.lit('{"issues": [{"message": "'), F.col("event_type"), F.lit('", "line": '), F.col("user_id").cast("string"), F.lit("}]}"))
+    reply = F.when(F.col("event_id") % 5 == 0, "not JSON").when(F.col("event_id") % 2 == 0, full).otherwise('{"issues": [{}]}')
+    replies = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("file"), reply.alias("reply"))
+    return assistant.issues(replies).select("file", "message", "rule_id", "severity", F.col("line_no").alias("line"))
+
+
+@query("semantic_topk", """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
+SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q.v), 4) AS score FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q.v) DESC, vec_id LIMIT 20""")
+def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    first = vectors.orderBy("vec_id").select("embedding").first()[0]
+    return graph.top_k_by_cosine(vectors, list(first), 20).select("vec_id", F.round("score", 4).alias("score"))
+
+
+def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, content): a Markdown document for each order: a title, and for each line item a heading, a paragraph, a list and a code block."""
+    rows = ranked_items(spark, sf_dir)
+    part = F.col("l_partkey")
+    heading = F.concat(F.when(part % 4 == 0, "### ").otherwise("## "), F.when(part % 3 == 0, "item").otherwise("Item"), F.lit(" details"))
+    prose = F.when(part % 5 == 0, "The part was shipped, please wait.").otherwise("We ship the part.")
+    items = F.concat(F.lit("- one\n"), F.when(part % 6 == 0, "* two").otherwise("- two"))
+    code = F.concat(F.lit("```"), F.when(part % 7 == 0, "").otherwise("sql"), F.lit("\nselect is wanted\n```"))
+    body = F.concat_ws("\n\n", heading, prose, items, code)
+    texts = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_no", body.alias("body")))).alias("b"))
+    return texts.select(F.concat(F.lit("orders/"), F.col("file").cast("string"), F.lit(".md")).alias("file"), F.concat(F.lit("# Order\n\n"), F.array_join("b.body", "\n\n"), F.lit("\n")).alias("content"))
+
+
+# A heading is three lines before its list and starts a block of 11 lines; the title takes two.
+_ORDER_SQL = f"""{_RANKED_SQL},
+b AS (SELECT concat('orders/', file, '.md') AS file, l_partkey AS p, 3 + 11 * (line_no - 1) AS top, CASE WHEN l_partkey % 4 = 0 THEN 3 ELSE 2 END AS level, lag(CASE WHEN l_partkey % 4 = 0 THEN 3 ELSE 2 END, 1, 1) OVER (PARTITION BY file ORDER BY line_no) AS before FROM r),
+v AS (
+  SELECT file, 'heading-hierarchy' AS rule_id, 'warning' AS severity, top AS line, CAST(NULL AS BIGINT) AS col FROM b WHERE level > before + 1
+  UNION ALL SELECT file, 'heading-casing', 'info', top, NULL FROM b WHERE p % 3 = 0
+  UNION ALL SELECT file, 'passive-voice', 'warning', top + 2, 10 FROM b WHERE p % 5 = 0
+  UNION ALL SELECT file, 'terminology', 'info', top + 2, 23 FROM b WHERE p % 5 = 0
+  UNION ALL SELECT file, 'list-consistency', 'warning', top + 4, NULL FROM b WHERE p % 6 = 0
+  UNION ALL SELECT file, 'code-block-language', 'warning', top + 7, NULL FROM b WHERE p % 7 = 0)"""
+
+
+@query("markdown_lint", f"WITH {_ORDER_SQL} SELECT * FROM v")
+def markdown_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over assembled Markdown: parse, rules, suppression, severities."""
+    found = engine.GovernanceEngine().lint(order_documents(spark, sf_dir))
+    return found.select("file", "rule_id", "severity", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("col"))
+
+
+@query("severity_filter", f"WITH {_ORDER_SQL} SELECT file, rule_id, line FROM v WHERE severity <> 'info'")
+def severity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine.at_least(engine.GovernanceEngine().lint(order_documents(spark, sf_dir)), "warning")
+    return found.select("file", "rule_id", F.col("line").cast("long").alias("line"))
+
+
+@query("file_summary", f"""WITH {_ORDER_SQL}
+SELECT f.file, CAST(0 AS BIGINT) AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS infos, FALSE AS has_errors
+FROM (SELECT DISTINCT file FROM b) f LEFT JOIN v USING (file) GROUP BY f.file""")
+def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = order_documents(spark, sf_dir)
+    return engine.file_summary(engine.GovernanceEngine().lint(docs), docs)
+
+
+@query("corpus_report", f"""WITH {_ORDER_SQL}
+SELECT (SELECT count(DISTINCT file) FROM b) AS files_scanned, count(*) AS total_violations, CAST(0 AS BIGINT) AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS infos FROM v""")
+def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = order_documents(spark, sf_dir)
+    return engine.corpus_summary(engine.GovernanceEngine().lint(docs), docs)
+
+
+@query("gate", f"WITH {_ORDER_SQL} SELECT 'error' AS fail_on, count(*) FILTER (WHERE severity = 'error') > 0 AS failed FROM v UNION ALL SELECT 'warning', count(*) FILTER (WHERE severity IN ('error', 'warning')) > 0 FROM v")
+def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine.GovernanceEngine().lint(order_documents(spark, sf_dir))
+    return engine.gate(found, "error").select(F.lit("error").alias("fail_on"), "failed").union(engine.gate(found, "warning").select(F.lit("warning"), "failed"))
