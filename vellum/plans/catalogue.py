@@ -80,7 +80,7 @@ def _only(name: str, **options) -> Settings:
     return Settings(checks={name: CheckSettings(severity=rules.DEFAULT_SEVERITY[name], options=options)})
 
 
-_SHOWN = ["file", F.col("line_no").cast("long").alias("line_no"), "rule_id", "message", "severity", F.col("column").cast("long").alias("col"), "context"]
+_SHOWN = ["file", "CAST(line_no AS BIGINT) AS line_no", "rule_id", "message", "severity", "CAST(column AS BIGINT) AS col", "context"]
 
 # ---- personal data and keys ------------------------------------------------------------------------
 
@@ -101,7 +101,7 @@ def _pii(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         others = [n for n in fixed.PII if n != name]
         settings = _only("pii-detected", disabled_subtypes=others)
-        return rules.scan(document_lines(spark, sf_dir), {"pii-detected": rules.pii}, settings).select(*_SHOWN)
+        return rules.scan(document_lines(spark, sf_dir), {"pii-detected": rules.pii}, settings).selectExpr(*_SHOWN)
 
     return run
 
@@ -144,7 +144,7 @@ def key_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pii_ssn", f"WITH {_KEY_LINES_SQL} {_pii_sql('ssn')}")
 def pii_ssn(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = _only("pii-detected", disabled_subtypes=["email", "phone-us", "credit-card"])
-    return rules.scan(key_lines(spark, sf_dir), {"pii-detected": rules.pii}, settings).select(*_SHOWN)
+    return rules.scan(key_lines(spark, sf_dir), {"pii-detected": rules.pii}, settings).selectExpr(*_SHOWN)
 
 
 _SECRET_SQL = "(?i)" + fixed.AWS_SECRET.replace("'", "''")
@@ -158,14 +158,14 @@ UNION ALL
 SELECT file, line_no, 'aws-key-exposed', 'Possible AWS secret access key detected.', 'error', NULL, {_REDACTED_SQL}
 FROM (SELECT file, line_no, line, unnest(regexp_extract_all(line, '{_SECRET_SQL}')) AS m FROM l)""")
 def aws_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scan(key_lines(spark, sf_dir), {"aws-key-exposed": rules.aws_keys}, Settings()).select(*_SHOWN)
+    return rules.scan(key_lines(spark, sf_dir), {"aws-key-exposed": rules.aws_keys}, Settings()).selectExpr(*_SHOWN)
 
 
 @query("line_length", f"""WITH {_DOCUMENT_LINES}
 SELECT file, line_no, 'line-length' AS rule_id, concat('Line exceeds 120 characters (', len(line), ').') AS message, 'info' AS severity, CAST(121 AS BIGINT) AS col, CAST(NULL AS VARCHAR) AS context
 FROM l WHERE len(line) > 120""")
 def line_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scan(document_lines(spark, sf_dir), {"line-length": rules.line_length}, Settings()).select(*_SHOWN)
+    return rules.scan(document_lines(spark, sf_dir), {"line-length": rules.line_length}, Settings()).selectExpr(*_SHOWN)
 
 
 # ---- prose --------------------------------------------------------------------------------------------
@@ -179,12 +179,12 @@ FROM ({matches_sql('(?i)' + fixed.PASSIVE, 'l', keep)})"""
 
 @query("passive_voice", _passive_sql("lower(ms[k]) NOT IN (" + ", ".join(f"'{s}'" for s in fixed.STATIVE) + ")"))
 def passive_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scan(document_lines(spark, sf_dir), {"passive-voice": rules.passive_voice}, Settings()).select(*_SHOWN)
+    return rules.scan(document_lines(spark, sf_dir), {"passive-voice": rules.passive_voice}, Settings()).selectExpr(*_SHOWN)
 
 
 @query("passive_voice_with_statives", _passive_sql("TRUE"))
 def passive_voice_with_statives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scan(document_lines(spark, sf_dir), {"passive-voice": rules.passive_voice}, _only("passive-voice", allow_stative=False)).select(*_SHOWN)
+    return rules.scan(document_lines(spark, sf_dir), {"passive-voice": rules.passive_voice}, _only("passive-voice", allow_stative=False)).selectExpr(*_SHOWN)
 
 
 def _terms_sql(terms: list[tuple], check: str) -> str:
@@ -199,7 +199,7 @@ _PRODUCT = [(p, w, "info", True) for p, w in fixed.PRODUCT_TERMS]
 
 @query("terminology", f"WITH {_DOCUMENT_LINES} {_terms_sql(_GENERAL, 'terminology')}")
 def terminology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scan(document_lines(spark, sf_dir), {"terminology": rules.terminology}, Settings()).select(*_SHOWN)
+    return rules.scan(document_lines(spark, sf_dir), {"terminology": rules.terminology}, Settings()).selectExpr(*_SHOWN)
 
 
 _GENERAL_WORDS = ["blacklist", "the Whitelist.", "master  branch", "MASTER", "slave", "just easy", "Obviously", "etc. and", "etc.", "please", "simplytic", "hers", "no term"]
@@ -221,12 +221,12 @@ def _word_lines_sql(words: list[str]) -> str:
 
 @query("terminology_general", f"WITH {_word_lines_sql(_GENERAL_WORDS)} {_terms_sql(_GENERAL, 'terminology')}")
 def terminology_general(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scan(_word_lines(spark, sf_dir, _GENERAL_WORDS), {"terminology": rules.terminology}, Settings()).select(*_SHOWN)
+    return rules.scan(_word_lines(spark, sf_dir, _GENERAL_WORDS), {"terminology": rules.terminology}, Settings()).selectExpr(*_SHOWN)
 
 
 @query("terminology_product", f"WITH {_word_lines_sql(_PRODUCT_WORDS)} {_terms_sql(_PRODUCT, 'docc-terminology')}")
 def terminology_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scan(_word_lines(spark, sf_dir, _PRODUCT_WORDS), {"docc-terminology": rules.product_terminology}, Settings()).select(*_SHOWN)
+    return rules.scan(_word_lines(spark, sf_dir, _PRODUCT_WORDS), {"docc-terminology": rules.product_terminology}, Settings()).selectExpr(*_SHOWN)
 
 
 # ---- structure ------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import asdict
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -17,7 +17,6 @@ from ..functions.text import lines as line_structs
 from ..operators import assistant, graph, parse, reference_pages, rules
 from ..operators.suppress import drop_suppressed
 
-RANK = F.create_map(*[F.lit(x) for i, s in enumerate(fixed.SEVERITIES) for x in (s, i)])
 COLUMNS = ["rule_id", "message", "severity", "file", "line", "column", "suggestion", "context"]
 
 
@@ -25,6 +24,12 @@ def severity_rank(severity: str) -> int | None:
     return fixed.SEVERITIES.index(severity) if severity in fixed.SEVERITIES else None
 
 
+def _rank(severity) -> Column:
+    """0 for the worst; an unknown severity ranks last."""
+    ranks = F.create_map(*[F.lit(x) for i, s in enumerate(fixed.SEVERITIES) for x in (s, i)])
+    return F.coalesce(F.try_element_at(ranks, F.col(severity)), F.lit(len(fixed.SEVERITIES) - 1))
+
+
 class Registry:
     """Ordered rules by id; registering an id again replaces it in place. A rule maps views and settings to findings."""
 
@@ -146,7 +151,7 @@ class ReferenceEngine:
 def at_least(violations: DataFrame, severity: str) -> DataFrame:
     """Those at least as severe as ``severity``; an unknown one keeps all."""
     rank = severity_rank(severity)
-    return violations.where(F.coalesce(F.try_element_at(RANK, F.col("severity")), F.lit(2)) <= (2 if rank is None else rank))
+    return violations.where(_rank("severity") <= (2 if rank is None else rank))
 
 
 def file_summary(violations: DataFrame, files: DataFrame) -> DataFrame:
@@ -167,4 +172,4 @@ def corpus_summary(violations: DataFrame, files: DataFrame) -> DataFrame:
 def gate(violations: DataFrame, fail_on: str = "error") -> DataFrame:
     """One row, failed: whether a violation is at least as severe as ``fail_on``; an unknown one means error."""
     rank = severity_rank(fail_on) or 0
-    return violations.agg(F.coalesce(F.bool_or(F.coalesce(F.try_element_at(RANK, F.col("severity")), F.lit(2)) <= rank), F.lit(False)).alias("failed"))
+    return violations.agg(F.coalesce(F.bool_or(_rank("severity") <= rank), F.lit(False)).alias("failed"))
