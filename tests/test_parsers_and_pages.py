@@ -222,7 +222,8 @@ def folder(tmp_path):
 def test_sources(spark, folder):
     got = {r.file.rsplit("/", 1)[-1]: r.error for r in files.read_documents(spark, [str(folder)], ["*clean*"]).collect()}
     assert got == {"a.md": None, "b.wiki": None, "bad.md": "not UTF-8"}
-    assert files.read_documents(spark, [str(folder / "clean.markdown")], ["*clean*"]).count() == 1
+    assert files.read_documents(spark, [str(folder / "clean.markdown"), str(folder / "none")], ["*clean*"]).count() == 1
+    assert files.read_documents(spark, [str(folder / "none")]).count() == 0
 
 
 def test_cache(spark):
@@ -233,6 +234,51 @@ def test_cache(spark):
     assert GovernanceEngine().ruleset() != GovernanceEngine(config.from_mapping({"checks": {"line-length": {"max_length": 80}}})).ruleset()
 
 
+def test_cached_lint(spark, tmp_path):
+    from vellum.plans.cache import lint_cached
+
+    docs = spark.createDataFrame([("a.md", MARKDOWN), ("b.md", "fine"), ("c.txt", "123-45-6789")], "file string, content string")
+    for _ in range(2):
+        assert lint_cached(GovernanceEngine(), docs, str(tmp_path / "cache")).count() == len(FOUND)
+    assert spark.read.parquet(str(tmp_path / "cache")).count() == 3
+    other = GovernanceEngine(config.from_mapping({"checks": {"terminology": {"enabled": False}}}))
+    assert lint_cached(other, docs, str(tmp_path / "cache")).count() == sum(r != "terminology" for _, r, _ in FOUND)
+
+
+def test_own_rules(spark):
+    own = GovernanceEngine()
+    own.registry.register("todo", lambda views, made: views["lines"].where("line LIKE '%TODO%'").select(
+        "file", "line_no", F.lit("todo").alias("rule_id"), F.lit("left").alias("message"), F.lit("info").alias("severity"), F.lit(1).alias("column"), F.lit(None).cast("string").alias("suggestion"),
+        F.col("line").alias("context"), F.lit(99).alias("check_no"), F.lit(0).alias("emit_no")))
+    own.registry.register("broken", lambda views, made: views["nothing"])
+    docs = spark.createDataFrame([("a.md", "x\nTODO y")], "file string, content string")
+    assert [(r.rule_id, r.line) for r in own.lint(docs).collect()] == [("todo", 2)] and own.skipped_checks() == ["broken"]
+
+
+def test_http_pages(spark):
+    import http.server
+    import threading
+
+    from vellum.sources import http_pages
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            found = self.path == "/a.json"
+            self.send_response(200 if found else 404)
+            self.end_headers()
+            self.wfile.write(b'{"x": 1}' if found else b"")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    got = http_pages.fetch(spark, [f"{base}/a.json", f"{base}/b.json"], 0.01).collect()
+    server.shutdown()
+    assert [(r.url, r.status, r.json) for r in got] == [(f"{base}/a.json", 200, '{"x": 1}'), (f"{base}/b.json", 404, None)]
+
+
 def test_reports(spark, folder):
     docs = files.read_documents(spark, [str(folder)])
     own = GovernanceEngine()

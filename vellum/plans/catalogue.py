@@ -439,6 +439,15 @@ def identifier_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "id", reference_pages.is_external(F.col("id")).alias("external"), reference_pages.identifier_url(F.col("id")).alias("url"))
 
 
+@query("resolve_identifiers", f"""WITH i AS (SELECT p_partkey AS n, CASE p_partkey % 4 WHEN 0 THEN concat('{fixed.EXTERNAL_PREFIX}', p_partkey) WHEN 1 THEN concat('https://x/', p_partkey) ELSE concat({_KEY_SQL}, p_partkey * 2) END AS id FROM part)
+SELECT id, CASE n % 4 WHEN 0 THEN 'external' WHEN 1 THEN 'unparseable' ELSE CASE WHEN n * 2 IN (SELECT p_partkey FROM part) THEN 'found' ELSE 'missing' END END AS status FROM i""")
+def resolve_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    inside = F.concat(F.lit("doc://com.apple.parts/documentation/Parts/p"), (k * 2).cast("string"))
+    wanted = F.when(k % 4 == 0, F.concat(F.lit(fixed.EXTERNAL_PREFIX), k.cast("string"))).when(k % 4 == 1, F.concat(F.lit("https://x/"), k.cast("string"))).otherwise(inside)
+    return reference_pages.resolved(table(spark, sf_dir, "part").select(wanted.alias("id")), _part_pages(spark, sf_dir)).select("id", "status")
+
+
 # ---- sources -------------------------------------------------------------------------------------------------------
 
 _ENDINGS = [".md", ".MARKDOWN", ".mdx", ".wiki", ".MediaWiki", ".txt", "md"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 from collections.abc import Callable
 from dataclasses import asdict
 from functools import reduce
@@ -17,6 +18,7 @@ from ..functions.text import lines as line_structs
 from ..operators import assistant, graph, parse, reference_pages, rules
 from ..operators.suppress import drop_suppressed
 
+_log = logging.getLogger(__name__)
 COLUMNS = ["rule_id", "message", "severity", "file", "line", "column", "suggestion", "context"]
 
 
@@ -54,6 +56,7 @@ class GovernanceEngine:
 
     def __init__(self, settings: Settings | None = None, registry: Registry | None = None, assistant_client: Callable[[str, str], str] | None = None):
         self.settings, self.registry, self._client = settings or Settings(), registry or Registry(), assistant_client
+        self.failed: list[str] = []
 
     def views(self, documents: DataFrame) -> dict[str, DataFrame]:
         """documents (file, content) parsed once and cached, and the relations that rules work on."""
@@ -83,13 +86,19 @@ class GovernanceEngine:
                 found.append(rule(views[view], settings))
         if self._client and settings.llm.enabled and on("terminology") and settings.option("terminology", "llm_enabled", False):
             found.append(assistant.reviewed(views["segments"], settings, self._client))
-        found += [rule(views, settings) for name, rule in self.registry.rules.items() if on(name)]
+        for name, rule in self.registry.rules.items():
+            if on(name):
+                try:
+                    found.append(rule(views, settings))
+                except Exception:  # one rule that can't be planned leaves the others
+                    _log.exception("rule %s failed", name)
+                    self.failed.append(name)
         every = reduce(DataFrame.unionByName, found)
         return _shaped(drop_suppressed(every, views["lines"]))
 
     def skipped_checks(self) -> list[str]:
         names = [name for name, *_ in rules.CHECKS] + list(self.registry.rules)
-        return [name for name in dict.fromkeys(names) if not self.settings.enabled(name)]
+        return [name for name in dict.fromkeys(names) if not self.settings.enabled(name) or name in self.failed]
 
     def skipped(self, documents: DataFrame) -> DataFrame:
         """(file, reason) of documents that weren't linted."""

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import fnmatch
+import logging
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_log = logging.getLogger(__name__)
 PATTERN = "*.{md,markdown,mdx,wiki,mediawiki}"
 
 
@@ -21,11 +23,15 @@ def excluded(file: Column, patterns: list[str]) -> Column:
 def read_documents(spark: SparkSession, paths: list[str], exclude: list[str] = ()) -> DataFrame:
     """(file, content, error) of the markup files under ``paths``.
 
-    Paths that name a file are taken whatever ``exclude`` says. Bytes that aren't UTF-8 give a null content and an error; any store that
+    Paths that name a file are taken whatever ``exclude`` says; missing ones are passed over with a warning. Bytes that aren't UTF-8 give a null content and an error; any store that
     Spark reads will do.
     """
     out = None
     for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            _log.warning("no such path: %s", path)
+            continue
         single = path.rsplit("/", 1)[-1].rpartition(".")[2] in PATTERN[3:-1].split(",")
         reader = spark.read.format("binaryFile")
         files = reader.load(path) if single else reader.option("recursiveFileLookup", "true").option("pathGlobFilter", PATTERN).load(path)
@@ -33,6 +39,8 @@ def read_documents(spark: SparkSession, paths: list[str], exclude: list[str] = (
         rows = files.select(file.alias("file"), "content")
         rows = rows if single else rows.where(~excluded(F.col("file"), list(exclude)))
         out = rows if out is None else out.union(rows)
+    if out is None:
+        return spark.createDataFrame([], "file string, content string, error string")
     text = F.col("content").cast("string")
     valid = F.is_valid_utf8(text)
     return out.select("file", F.when(valid, text).alias("content"), F.when(~valid, "not UTF-8").alias("error"))
