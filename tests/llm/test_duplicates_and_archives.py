@@ -11,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from vellum.llm import embeddings, fingerprints, neardup, warc
+from vellum.llm.common import written
 from vellum.llm.components import components
 
 from .helpers import DOCS, ODD, docs
@@ -226,7 +227,7 @@ def test_pipeline(spark):
     start = spark.read.parquet(f"{SF}/documents.parquet")
     docs_, kept = start, []
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs_ = stage(spark, docs_, SF).localCheckpoint()
+        docs_ = written(stage(spark, docs_, SF), "stage")
         assert docs_.columns == start.columns
         kept.append({r.doc_id: r.text for r in docs_.collect()})
     source = {r.doc_id: r.text for r in start.collect()}
