@@ -115,7 +115,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = rows.join(F.broadcast(closing), "key").groupBy("key", "bucket").agg(F.min("text").alias("text"))
     body = rows.select(place("key").alias("bucket"), "key", "text", F.lit(False).alias("last"))
     every = body.unionByName(heads.withColumn("last", F.lit(True)))
-    return every.repartition(n, "bucket").sortWithinPartitions("bucket", "last", "key", "text")
+    return every.repartitionById(n, "bucket").sortWithinPartitions("bucket", "last", "key", "text")
 
 
 def compare_with_edits(docs: DataFrame, size: int = SIZE) -> DataFrame:

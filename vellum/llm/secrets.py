@@ -141,9 +141,13 @@ def secret_scan(docs: DataFrame, repo_col: str = "source", owner_col: str = "sou
     with equal texts get equal results each; all unnamed owners count as one. An empty table gives an empty result.
     """
     found, per_row = _scanned(docs, repo_col, owner_col, live_owners)
-    out = skew_join(found.drop("found", "repo", "owner"), per_row, ["row"], "left")
+    base = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]
+    # Most documents have no candidate: they bypass the join, where their null key would gather them.
+    joined = skew_join(found.where("row IS NOT NULL").select(*base, "row"), per_row, ["row"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"))
+    judged = joined.select(*base, F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"))
+    clean = found.where("row IS NULL").select(*base, F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_copied"))
+    return judged.unionByName(clean)
 
 
 def _mask(text: str, spans: str) -> str:
