@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import fixed
+from ..functions.text import LINE_END, dialect
 from ..functions.text import lines as line_structs
 from ..operators import assistant, graph, parse, reference_pages, rules
 from ..operators.suppress import drop_suppressed
@@ -42,6 +43,11 @@ class Registry:
         self.rules[name] = rule
 
 
+def _raw_lines(docs: DataFrame) -> DataFrame:
+    """(file, line_no, line) of the documents' contents, front matter and code included."""
+    return docs.select("file", F.explode(line_structs(F.col("content"))).alias("l")).select("file", (F.col("l.i") + 1).alias("line_no"), "l.line")
+
+
 def _shaped(findings: DataFrame) -> DataFrame:
     return findings.select("rule_id", "message", "severity", "file", F.col("line_no").cast("int").alias("line"), "column", "suggestion", "context", "check_no", "emit_no")
 
@@ -61,12 +67,14 @@ class GovernanceEngine:
     def views(self, documents: DataFrame) -> dict[str, DataFrame]:
         """documents (file, content) parsed once and cached, and the relations that rules work on."""
         docs = parse.parsed(documents.select("file", "content")).where("format IS NOT NULL AND content IS NOT NULL AND doc.error IS NULL").persist()
-        raw = docs.select("file", F.explode(line_structs(F.col("content"))).alias("l")).select("file", (F.col("l.i") + 1).alias("line_no"), "l.line")
+        raw = _raw_lines(docs)
         segments = docs.select("file", F.posexplode("doc.segments").alias("ord", "s")).select("file", "ord", "s.*")
         in_segments = segments.select("file", "ord", "line_start", F.explode(line_structs(F.col("text"))).alias("l")).select("file", "ord", (F.col("line_start") + F.col("l.i")).alias("line_no"), "l.line")
         headings = docs.select("file", F.posexplode("doc.headings").alias("ord", "h")).select("file", "ord", "h.*")
         blocks = docs.select("file", F.posexplode("doc.code_blocks").alias("ord", "b")).select("file", "ord", "b.language", "b.line_no")
-        return {"documents": docs, "lines": raw, "segments": segments, "segment_lines": in_segments, "headings": headings, "code_blocks": blocks}
+        # What most documents lack is looked for in whole documents before their lines are taken apart.
+        listed, marked = docs.where(F.col("content").rlike(dialect("(?:^|" + LINE_END + ")" + fixed.LIST_MARKER[1:]))), docs.where(F.col("content").contains("<!--"))
+        return {"documents": docs, "lines": raw, "list_lines": _raw_lines(listed), "directive_lines": _raw_lines(marked), "segments": segments, "segment_lines": in_segments, "headings": headings, "code_blocks": blocks}
 
     def lint(self, documents: DataFrame) -> DataFrame:
         """The violations of ``documents`` (file, content), without the suppressed ones, in no order; see ``ordered``.
@@ -81,7 +89,7 @@ class GovernanceEngine:
         found = [rules.scan(views["lines"], rules.LINE_RULES, settings)]
         found.append(rules.scan(views["segment_lines"], rules.SEGMENT_RULES, settings))
         for name, rule, view in (("heading-hierarchy", rules.heading_hierarchy, "headings"), ("heading-casing", rules.heading_casing, "headings"),
-                                 ("code-block-language", rules.code_block_language, "code_blocks"), ("list-consistency", rules.list_consistency, "lines")):
+                                 ("code-block-language", rules.code_block_language, "code_blocks"), ("list-consistency", rules.list_consistency, "list_lines")):
             if on(name):
                 found.append(rule(views[view], settings))
         if self._client and settings.llm.enabled and on("terminology") and settings.option("terminology", "llm_enabled", False):
@@ -94,7 +102,7 @@ class GovernanceEngine:
                     _log.exception("rule %s failed", name)
                     self.failed.append(name)
         every = reduce(DataFrame.unionByName, found)
-        return _shaped(drop_suppressed(every, views["lines"]))
+        return _shaped(drop_suppressed(every, views["directive_lines"]))
 
     def skipped_checks(self) -> list[str]:
         names = [name for name, *_ in rules.CHECKS] + list(self.registry.rules)
