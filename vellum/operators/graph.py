@@ -2,25 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, reread, so that each level's plan starts anew."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "vellum-scratch")
-    path = f"{root.rstrip('/')}/vellum/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.scratch import written
 
 
 def crawl(spark: SparkSession, edges: DataFrame, roots: DataFrame, known: DataFrame | None = None, max_depth: int = 2) -> DataFrame:
@@ -30,7 +15,7 @@ def crawl(spark: SparkSession, edges: DataFrame, roots: DataFrame, known: DataFr
     are. Where ``known`` (node) is given, other nodes are neither listed nor followed. Each level is a join of the frontier
     with the edges and an anti join with what was seen.
     """
-    seen = _written(roots.select("node").distinct().withColumn("depth", F.lit(0)), "crawl")
+    seen = written(roots.select("node").distinct().withColumn("depth", F.lit(0)), "crawl")
     frontier, depth = seen, 0
     while depth < max(1, max_depth):
         found = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
@@ -38,7 +23,7 @@ def crawl(spark: SparkSession, edges: DataFrame, roots: DataFrame, known: DataFr
         if known is not None:
             found = found.join(known.select("node").distinct(), "node", "left_semi")
         depth += 1
-        frontier = _written(found.withColumn("depth", F.lit(depth)), "crawl")
+        frontier = written(found.withColumn("depth", F.lit(depth)), "crawl")
         if not frontier.take(1):
             break
         seen = seen.union(frontier)
