@@ -3,40 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRAIN_FOLDS, HELD_OUT_FOLD = 4, 2
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for written tables: spark.checkpoint.dir; a temporary one only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "vellum-scratch")
-    return root.rstrip("/") + "/vellum"
-
+from ..sources.scratch import clear_scratch, scratch_root, written  # noqa: F401
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, reread: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete every table that ``written`` left; call it once no result that reads them is still needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+TRAIN_FOLDS, HELD_OUT_FOLD = 4, 2
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
