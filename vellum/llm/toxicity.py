@@ -12,12 +12,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, held_out, labelled_sample, word_hashes
+from .common import distinct, held_out, labelled_sample, shingle_hashes, word_hashes
+from .neardup import circulant_signatures
 from .neural import Adam, logistic_fit, sigmoid
 
 #: Training documents of each class at most, about.
 FIT_ROWS = {0: 2400, 1: 1400}
-WINDOW, STEP = 32, 24
+WINDOW, STEP, MARGIN = 32, 24, 4
 GRAMS, BUCKET_BITS, SMOOTH = (4, 5, 6), 18, 6.0
 INPUTS, HIDDEN, ATTENTION = 4, 8, 8
 EPOCHS, BATCH, RATE = 7, 64, 0.01
@@ -107,15 +108,17 @@ class Evidence:
 
 
 def windows_of(of_text: np.ndarray, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs [WINDOW, n, INPUTS], mask [WINDOW, n], windows of each text); a text without a word is one empty window."""
-    counts = np.maximum(1, -(-(of_text - (WINDOW - STEP)) // STEP))
-    first_word = np.concatenate(([0], np.cumsum(of_text)[:-1]))
+    """(inputs [WINDOW, n, INPUTS], mask [WINDOW, n], windows of each text).
+
+    ``MARGIN`` blank words stand on either side of a text, so that its first and last words are read like any other.
+    """
+    counts = np.maximum(1, -(-(of_text + 2 * MARGIN - (WINDOW - STEP)) // STEP))
     owner = np.repeat(np.arange(len(of_text)), counts)
     number = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
-    at = (first_word[owner] + number * STEP)[None] + np.arange(WINDOW)[:, None]
-    mask = at < (first_word + of_text)[owner][None]
+    word = (number * STEP - MARGIN)[None] + np.arange(WINDOW)[:, None]
+    size, first_word = of_text[owner][None], np.concatenate(([0], np.cumsum(of_text)[:-1]))[owner][None]
     padded = np.concatenate([inputs, np.zeros((1, INPUTS), np.float32)])
-    return padded[np.where(mask, at, len(inputs))], mask, counts
+    return padded[np.where((word >= 0) & (word < size), first_word + word, len(inputs))], word < size + MARGIN, counts
 
 
 def _initial() -> dict[str, np.ndarray]:
@@ -207,12 +210,13 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, prior: float | None
     Each half of the rows is trained on with the evidence of the other, so that rare words of a document don't vouch for its
     own label. A document learns through its highest window; other documents also through their second.
     """
+    rows = without_copies(rows)
     weights, random = _initial(), np.random.default_rng(5)
     labels = np.array([y for _, y in rows], np.float32)
     if len(set(labels.tolist())) < 2:
         weights["out"][:] = 0
         empty = np.zeros((1 + len(GRAMS), 1 << BUCKET_BITS), np.float32)
-        return {"network": weights, "evidence": empty, "scale": np.array([1, 0, 4 if len(labels) and labels[0] else -4 if len(labels) else 0], float)}
+        return {"network": weights, "evidence": empty, "scale": np.array([1, 4 if len(labels) and labels[0] else -4 if len(labels) else 0], float)}
     halves = [[i for i in range(len(rows)) if i % 2 == h] for h in (0, 1)]
     counted = [Evidence.counts([rows[i] for i in half]) for half in halves]
     parts, owners = [], []
@@ -224,7 +228,6 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, prior: float | None
             parts.append((x, m))
             owners.append(np.repeat(some, counts))
     inputs, mask, owner = np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts], axis=1), np.concatenate(owners)
-    sizes = np.bincount(owner, minlength=len(rows))
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     adam = Adam(weights, RATE)
 
@@ -249,10 +252,24 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, prior: float | None
         values = _logits(weights, inputs, mask)
     order, place = ranked(values)
     top = values[order[place == 0]]
-    scale = logistic_fit(np.column_stack([top, np.log(sizes)]), labels, _prior_weights(labels, prior), ridge=0.01)
+    scale = logistic_fit(top[:, None], labels, _prior_weights(labels, prior), ridge=0.01)
     return {"network": weights, "evidence": Evidence.of(counted[0] + counted[1]).tables, "scale": scale}
 
 
+def without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The rows that aren't near copies of an earlier one, so that the words of a copied text count once."""
+    seen: list[set] = [set() for _ in range(8)]
+    out = []
+    for at in range(0, len(rows), 256):
+        some = rows[at : at + 256]
+        for row, signature in zip(some, circulant_signatures([shingle_hashes(t) for t, _ in some], len(seen)).tolist()):
+            if sum(x in own for x, own in zip(signature, seen)) < 3:
+                out.append(row)
+                for x, own in zip(signature, seen):
+                    own.add(x)
+    return out
+
+
 def _prior_weights(labels: np.ndarray, prior: float | None) -> np.ndarray:
     """Weights under which the sample has the share of toxic documents that the labelled rows have."""
     share = labels.mean()
@@ -271,8 +288,8 @@ def score_texts(model: dict, texts: list[str]) -> np.ndarray:
             x, m, counts = windows_of(*evidence.inputs(some))
             logits = _logits(weights, x, m)
             top = np.maximum.reduceat(logits, np.concatenate(([0], np.cumsum(counts)[:-1])))
-            a, b, c = model["scale"]
-            out[first : i + 1] = sigmoid(np.clip(a * top.astype(np.float64) + b * np.log(counts) + c, -500, 500))
+            slope, constant = model["scale"]
+            out[first : i + 1] = sigmoid(np.clip(slope * top.astype(np.float64) + constant, -500, 500))
             first, chars = i + 1, 0
     return out
 
