@@ -40,7 +40,7 @@ def test_components(spark):
     edges = [(int(a), int(b)) for a, b in random.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(40)] + [(300, 200 + i) for i in range(30)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame([*edges, (None, 1)], "a long, b long")).collect()}
     nodes = {n for a, b in edges if a != b for n in (a, b)}
-    assert got == roots_of(nodes, edges)
+    assert got == roots_of(nodes, [e for e in edges if e[0] != e[1]])
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -217,7 +217,7 @@ def test_records_parse():
     digest = base64.b32encode(hashlib.sha1(b"").digest()).decode()
     assert list(warc.parse_records(b"")) == [] and len(digest) == 32
     with pytest.raises(ValueError):
-        list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n"))
+        list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort\r\n\r\n"))
 
 
 def test_pipeline(spark):
