@@ -161,6 +161,26 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.embedding_near_dedup(table.where("vec_id < 0")).count() == 0
 
 
+def test_embeddings_in_a_hot_cluster(spark, monkeypatch):
+    """Linked pairs among many vectors that are near each other but not linked."""
+    monkeypatch.setattr(embeddings, "RUN_BLOCK", 256)
+    random = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(random.normal(size=64))
+    def beside(x, cosine, n):
+        y = random.normal(size=(n, 64))
+        return cosine * x + (1 - cosine**2) ** 0.5 * unit(y - (y * x).sum(axis=-1, keepdims=True) * x)
+
+    own = beside(centre, 0.88**0.5, 2000)
+    vectors = np.concatenate([own, beside(own[:150], 0.957, 150)])
+    near = np.triu(vectors @ vectors.T >= 0.95, 1)
+    assert near.sum() >= 150
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = embeddings.embedding_near_dedup(table, window=4).collect()
+    assert {r.vec_id: r.component_id for r in got} == roots_of(range(len(vectors)), np.argwhere(near).tolist())
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate((near.sum(axis=0) + near.sum(axis=1)).tolist()))
+
+
 PAGES = "page_id long, url string, html string, payload string, key string"
 
 

@@ -1,9 +1,11 @@
 """Embedding near-duplicates by sorted projection passes.
 
 Each pass gives every vector a code of concatenated random hashes (the sides of random hyperplanes), orders the
-vectors by it and compares each with the next few. The verified pairs of all passes are united into
-components. Links are then counted within each component in blocks, since a dense group has more links
-than bounded windows see.
+vectors by it and compares each with the next few. Where more vectors than a window share the first bits of a code,
+a window doesn't see the whole run: such runs are compared whole in blocks, between components that the
+windows left apart. So a link can only be lost if its ends share those bits in no pass, whatever lies around them. The
+verified pairs of all passes are united into components. Links are then counted within each component in
+blocks, since a dense group has more links than bounded windows see.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from .components import components
 
 PASSES, BITS, WINDOW, THRESHOLD = 24, 56, 48, 0.95
 BLOCK = 1024
+PREFIX, RUN_BLOCK = 12, 4096
 _SLICE = 4096
 
 
@@ -35,7 +38,8 @@ def _planes(number: int, dims: int, bits: int) -> np.ndarray:
     return np.random.default_rng([20240117, number, dims]).standard_normal((dims, bits))
 
 
-def _coded(passes: int, bits: int):
+def _coded(passes: int, bits: int, carried: list[str]):
+    """The code of each vector in each pass, its first PREFIX bits, and the columns named in ``carried``."""
     weights = (1 << np.arange(bits, dtype=np.int64))[::-1]
 
     def run(parts):
@@ -46,29 +50,32 @@ def _coded(passes: int, bits: int):
                     unit = _stack(rows["unit"])
                     for p in range(passes):
                         code = ((unit @ _planes(p, dims // 8, bits)) > 0) @ weights
-                        yield pd.DataFrame({"dims": dims // 8, "pass": p, "code": code, "rep": rows["rep"].values, "unit": rows["unit"].values})
+                        prefix = code >> max(0, bits - PREFIX)
+                        yield pd.DataFrame({"dims": dims // 8, "pass": p, "code": code, "prefix": prefix} | {c: rows[c].values for c in carried})
 
     return run
 
 
-def _window_links(window: int, threshold: float):
-    """Walks rows sorted by (dims, pass, code, rep) and yields a forest of the verified pairs within the window."""
+def _forest(a, b) -> pd.DataFrame:
+    """Links (a, b) that join what the given ones join, one for each node but the roots."""
+    parent = {}
 
-    def forest(rep, left, right):
-        parent = {}
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
 
-        def find(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+    for x, y in zip(a, b):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    pairs = [(x, find(x)) for x in parent]
+    return pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["a", "b"], dtype="int64")
 
-        for a, b in zip(rep[left], rep[right]):
-            x, y = find(a), find(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        pairs = [(x, find(x)) for x in parent]
-        return pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["a", "b"], dtype="int64")
+
+def _window_links(window: int, threshold: float):
+    """Walks rows sorted by (dims, pass, code, rep) and yields a forest of the verified pairs within the window."""
 
     def run(parts):
         kept = None
@@ -84,12 +91,30 @@ def _window_links(window: int, threshold: float):
                         left.append(near)
                         right.append(near + step)
                     if left:
-                        yield forest(rep, np.concatenate(left), np.concatenate(right))
+                        yield _forest(rep[np.concatenate(left)], rep[np.concatenate(right)])
                 kept = pdf.tail(window)
 
     return run
 
 
+def _run_links(threshold: float):
+    """A forest of the links between the components that meet in one pair of blocks of a run."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        unit, root, block = _stack(pdf["unit"]), pdf["root"].to_numpy(), pdf["block"].to_numpy()
+        rows, columns = np.flatnonzero(block == pdf["i"].iloc[0]), np.flatnonzero(block == pdf["j"].iloc[0])
+        found = [np.empty((0, 2), np.int64)]
+        for at in range(0, len(rows), 256):
+            some = rows[at : at + 256]
+            near = (unit[some] @ unit[columns].T >= threshold) & (root[some][:, None] != root[columns])
+            x, y = np.nonzero(near)
+            found.append(np.unique(np.sort(np.stack([root[some][x], root[columns][y]], axis=1), axis=1), axis=0))
+        found = np.concatenate(found)
+        return _forest(found[:, 0].tolist(), found[:, 1].tolist())
+
+    return run
+
+
 def _block_links(threshold: float):
     """Links of the vectors of one pair of blocks of a component, copies counted by their number."""
 
@@ -120,7 +145,8 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     vectors, those of zeros and those with a null or non-finite component link with nothing. Equal vectors are
     handled as one and counted as links of each other. n_links counts all links inside the component, not only
     those that a window saw. Rows that repeat an id count as vectors of their own in one component; a null id never names a component. An
-    empty table gives an empty result. ``passes`` and ``window`` set the share of components that are found whole.
+    empty table gives an empty result. ``passes`` sets the share of components that are found whole: a link of angle t is
+    lost with a chance of at most (1 - (1 - t / pi) ** PREFIX) ** passes, 4e-4 at the default threshold and passes.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -137,11 +163,24 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     classes = written(grouped.mapInPandas(units, "key string, rep long, copies long, unit binary"), "vectors")
 
     shuffle = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    coded = classes.select("rep", "unit").mapInPandas(_coded(passes, bits), "dims int, pass int, code long, rep long, unit binary")
+    code = "dims int, pass int, code long, prefix long"
+    coded = classes.select("rep", "unit").mapInPandas(_coded(passes, bits, ["rep", "unit"]), f"{code}, rep long, unit binary")
     ordered = coded.repartitionByRange(shuffle, "dims", "pass", "code", "rep").sortWithinPartitions("dims", "pass", "code", "rep")
-    links = ordered.mapInPandas(_window_links(window, threshold), "a long, b long").distinct()
+    links = written(ordered.mapInPandas(_window_links(window, threshold), "a long, b long").distinct(), "links")
     roots = written(components(links), "roots")
 
+    # Runs of one prefix beyond a window that still hold several components.
+    rooted = classes.select("rep", "unit").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    runs = rooted.mapInPandas(_coded(passes, bits, ["root"]), f"{code}, root long").groupBy("dims", "pass", "prefix")
+    torn = runs.agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where((F.col("n") > window + 1) & (F.col("lo") != F.col("hi")))
+    torn = written(torn.select("dims", "pass", "prefix", F.ceil(F.col("n") / RUN_BLOCK).cast("int").alias("blocks")), "runs")
+    if torn.take(1):
+        rest = rooted.mapInPandas(_coded(passes, bits, ["rep", "root", "unit"]), f"{code}, rep long, root long, unit binary").join(torn, ["dims", "pass", "prefix"])
+        rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rest = rest.select("dims", "pass", "prefix", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "root", "unit")
+        crossing = rest.groupBy("dims", "pass", "prefix", "i", "j").applyInPandas(_run_links(threshold), "a long, b long")
+        roots = written(components(links.union(crossing)), "roots")
+
     sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
     member = skew_join(roots, sizes, ["root"]).withColumnRenamed("node", "rep").join(classes.select("key", "rep", "copies", "unit"), "rep")
     member = member.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
