@@ -181,6 +181,22 @@ def test_embeddings_in_a_hot_cluster(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate((near.sum(axis=0) + near.sum(axis=1)).tolist()))
 
 
+@pytest.mark.parametrize("size", [4, 60])
+def test_embeddings_in_more_partitions_than_rows(spark, size):
+    """Links don't depend on where the ranges of the sorted passes end."""
+    random = np.random.default_rng(7)
+    centres = random.normal(size=(size // 2, 16))
+    vectors = np.concatenate([centres, centres + 0.02 * random.normal(size=centres.shape)])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", size * embeddings.PASSES)
+    try:
+        got = {r.vec_id: r.component_id for r in embeddings.embedding_near_dedup(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {i: i % (size // 2) for i in range(size)}
+
+
 PAGES = "page_id long, url string, html string, payload string, key string"
 
 

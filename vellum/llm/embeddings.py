@@ -21,6 +21,7 @@ from .components import components
 PASSES, BITS, WINDOW, THRESHOLD = 24, 56, 48, 0.95
 BLOCK = 1024
 PREFIX, RUN_BLOCK = 12, 4096
+RANGE_ROWS = 4096
 _SLICE = 4096
 
 
@@ -162,19 +163,25 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     grouped = rows.where("key IS NOT NULL AND vec_id IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = written(grouped.mapInPandas(units, "key string, rep long, copies long, unit binary"), "vectors")
 
-    shuffle = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     code = "dims int, pass int, code long, prefix long"
     coded = classes.select("rep", "unit").mapInPandas(_coded(passes, bits, ["rep", "unit"]), f"{code}, rep long, unit binary")
-    ordered = coded.repartitionByRange(shuffle, "dims", "pass", "code", "rep").sortWithinPartitions("dims", "pass", "code", "rep")
+    # Ranges of many windows each. None ends inside a run that a window sees whole; wider runs are compared in blocks below.
+    slim = classes.select("unit").mapInPandas(_coded(passes, bits, []), code).groupBy("dims", "pass", "prefix")
+    wide = written(slim.agg(F.count("*").alias("n")).where(F.col("n") > window + 1), "wide")
+    shuffle = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(shuffle, passes * classes.count() // RANGE_ROWS))
+    cut = [F.when(F.col("n").isNotNull(), F.col(c)) for c in ("code", "rep")]
+    ordered = coded.join(wide, ["dims", "pass", "prefix"], "left").repartitionByRange(ranges, "dims", "pass", "prefix", *cut)
+    ordered = ordered.select("dims", "pass", "code", "rep", "unit").sortWithinPartitions("dims", "pass", "code", "rep")
     links = written(ordered.mapInPandas(_window_links(window, threshold), "a long, b long").distinct(), "links")
     roots = written(components(links), "roots")
 
     # Runs of one prefix beyond a window that still hold several components.
     rooted = classes.select("rep", "unit").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    runs = rooted.mapInPandas(_coded(passes, bits, ["root"]), f"{code}, root long").groupBy("dims", "pass", "prefix")
-    torn = runs.agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where((F.col("n") > window + 1) & (F.col("lo") != F.col("hi")))
-    torn = written(torn.select("dims", "pass", "prefix", F.ceil(F.col("n") / RUN_BLOCK).cast("int").alias("blocks")), "runs")
-    if torn.take(1):
+    if wide.take(1):
+        runs = rooted.mapInPandas(_coded(passes, bits, ["root"]), f"{code}, root long").groupBy("dims", "pass", "prefix")
+        torn = runs.agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").join(wide, ["dims", "pass", "prefix"])
+        torn = written(torn.select("dims", "pass", "prefix", F.ceil(F.col("n") / RUN_BLOCK).cast("int").alias("blocks")), "runs")
         rest = rooted.mapInPandas(_coded(passes, bits, ["rep", "root", "unit"]), f"{code}, rep long, root long, unit binary").join(torn, ["dims", "pass", "prefix"])
         rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rest = rest.select("dims", "pass", "prefix", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "root", "unit")
