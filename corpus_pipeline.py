@@ -38,14 +38,18 @@ def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; rows without an id go.
+    """Of each group of near duplicates the row with the least id stays; rows without an id go.
 
-    Rows that repeat an id come down to one.
+    Groups are made of texts, not of ids: rows that repeat an id with other texts are judged one by one, and those that
+    repeat both come down to one.
     """
-    docs = docs.select(*COLUMNS).where("doc_id IS NOT NULL")
-    kept = written(neardup.minhash_near_dedup(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
-    return out.dropDuplicates(["doc_id"]) if kept.where("n > 1").take(1) else out
+    docs = docs.select(*COLUMNS).where("doc_id IS NOT NULL").withColumn("_row", F.xxhash64("doc_id", "text"))
+    groups = neardup.minhash_near_dedup(docs.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    own = docs.groupBy("_row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    least = groups.join(own, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row", "n")).alias("least"))
+    kept = written(least.select("least._row", "least.n"), "kept")
+    out = docs.join(kept.select("_row"), "_row", "left_semi")
+    return (out.dropDuplicates(["_row"]) if kept.where("n > 1").take(1) else out).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

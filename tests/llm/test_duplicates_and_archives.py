@@ -287,3 +287,11 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, docs(spark, []), SF).count() == 0
     twice = corpus_pipeline.drop_near_duplicates(spark, table, SF)
     assert sorted(r.doc_id for r in twice.collect()) == [1, 2, 3, 4, 6, 7, 8, 9, 10]
+
+
+def test_near_duplicate_stage_on_repeated_ids(spark):
+    """A row goes only if another of its text's group stays, whatever else its id carries."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one), (1, two), (1, two), (2, one + " more"), (3, two), (3, three), (4, " "), (4, None), (5, three)]
+    got = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), SF).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted([(1, one), (1, two), (3, three), (4, " "), (4, "")])
