@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import language, neardup, packing, quality, secrets
-from vellum.llm.common import table, written
+from vellum.llm.common import labelled_sample, table, written
 from vellum.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,9 +31,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier scores below its threshold; the texts stay where they were read."""
+    """Drops documents that the quality classifier scores below its threshold; the texts stay where they were read.
+
+    Without training rows of both classes nothing can be told and nothing goes.
+    """
     docs = docs.select(*COLUMNS)
-    weights = quality.fit(docs, table(spark, sf_dir, "labels"))
+    rows = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", quality.FIT_ROWS)
+    if len({y for _, y in rows}) < 2:
+        return docs
+    weights = quality.train(rows)
     return docs.where(quality.probability(spark, weights)("text") >= quality.THRESHOLD)
 
 

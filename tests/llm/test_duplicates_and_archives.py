@@ -295,3 +295,10 @@ def test_near_duplicate_stage_on_repeated_ids(spark):
     rows = [(1, one), (1, two), (1, two), (2, one + " more"), (3, two), (3, three), (4, " "), (4, None), (5, three)]
     got = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), SF).collect()
     assert sorted((r.doc_id, r.text or "") for r in got) == sorted([(1, one), (1, two), (3, three), (4, " "), (4, "")])
+
+
+@pytest.mark.parametrize("label", [None, 0, 1])
+def test_junk_stage_without_both_classes(spark, tmp_path, label):
+    spark.createDataFrame([(i, label, 0) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    rows = docs(spark, [(i, f"some words of text {i}") for i in range(8)])
+    assert corpus_pipeline.drop_junk(spark, rows, f"file://{tmp_path}").count() == 8
