@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import clear_scratch, scratch_root, written  # noqa: F401
 
 TRAIN_FOLDS, HELD_OUT_FOLD = 4, 2
+#: Longer texts aren't learned from, so that what the driver collects is bounded.
+FIT_CHARS = 1 << 18
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -32,21 +36,84 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int]) -> list[tuple[str, int]]:
-    """At most about ``per_class`` training texts of each label value, chosen by a hash of doc_id.
+def map_columns(rows: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterator[dict]], fields: dict[str, pa.DataType]) -> DataFrame:
+    """``rows`` through ``run``, which turns batches {column: values} into batches {column: values or array}.
+
+    Values come and go through Arrow, so integers beyond 2**53 stay exact beside nulls, which pandas would make floats.
+    """
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    schema = pa.schema(list(fields.items()))
+
+    def arrow(batches):
+        columns = ({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)} for batch in batches)
+        for out in run(columns):
+            yield pa.RecordBatch.from_arrays([pa.array(out[name], kind) for name, kind in fields.items()], schema=schema)
+
+    return rows.mapInArrow(arrow, from_arrow_schema(schema))
+
+
+def slices(columns: dict[str, list], text: str = "text", most_rows: int = 512, most_chars: int = 1 << 20) -> Iterator[dict[str, list]]:
+    """``columns`` in runs of at most ``most_rows`` rows and about ``most_chars`` characters of ``text``; a longer text is a run of its own."""
+    first = chars = 0
+    texts = columns[text]
+    for i, t in enumerate(texts):
+        chars += len(t) if t else 0
+        if chars >= most_chars or i + 1 - first >= most_rows or i + 1 == len(texts):
+            yield {name: values[first : i + 1] for name, values in columns.items()}
+            first, chars = i + 1, 0
+
+
+def marked(rows: DataFrame, keys: DataFrame, place: str, most_bits: int = 28) -> DataFrame:
+    """``rows`` with ``_maybe``: false only where the long column ``place`` has no equal in the column of that name of ``keys``.
+
+    A bitmap of the keys, built by Spark in pieces of 4 KB and broadcast, holds 16 bits for each key as long as ``most_bits``
+    allows, 32 MB at the default; beyond that more rows are marked that needn't be, and none is missed. Null places are not marked.
+    """
+    n = keys.count()
+    bits = min(most_bits, max(16, (16 * n - 1).bit_length() if n else 0))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    slots = keys.where(F.col(place).isNotNull()).select((at(place) + 1).alias("h"))  # Spark's bitmaps count from 1
+    pieces = slots.groupBy(F.expr("bitmap_bucket_number(h)").alias("_piece")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("_bits"))
+    slot = F.col("_slot")
+    byte = F.conv(F.hex(F.substr("_bits", (slot % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (slot % 8 + 1).cast("int"))) != 0, F.lit(False))
+    found = rows.withColumn("_slot", F.when(F.col(place).isNotNull(), at(place))).withColumn("_piece", F.floor(slot / 32768).cast("long") + 1)
+    joined = found.join(F.broadcast(pieces), "_piece", "left").withColumn("_maybe", known)
+    return joined.select(*rows.columns, "_maybe")
+
+
+class Known(dict):
+    """Ids by chunk of text, with a bound on the memory they take; long chunks, which hardly come back, aren't kept."""
+
+    def __init__(self, most_bytes: int = 96 << 20, most_chars: int = 48):
+        super().__init__({"": b""})
+        self.room, self._most_chars = most_bytes, most_chars
+
+    def learn(self, found: dict[str, bytes]) -> None:
+        if self.room > 0:
+            own = {c: ids for c, ids in found.items() if len(c) <= self._most_chars}
+            self.update(own)
+            self.room -= sum(map(len, own.values())) + sum(map(len, own)) * 4 + 200 * len(own)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], most_chars: int = FIT_CHARS) -> list[tuple[str, int]]:
+    """At most about ``per_class`` training texts of each label value and of up to ``most_chars`` characters, chosen by a hash of doc_id.
 
     Only the slim labels table is counted and thinned; what is broadcast to the scan of the documents
-    is the chosen ids, whose number ``per_class`` bounds.
+    is the chosen ids, whose number ``per_class`` bounds. Ids whose labels disagree teach nothing; of texts that share an id
+    the least counts.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
+    stated = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id")
+    known = stated.agg(F.min(F.col(label).cast("int")).alias("y"), F.max(F.col(label).cast("int")).alias("hi")).where("y = hi").select("doc_id", "y")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
     chosen = F.lit(False)
     for value, n in per_class.items():
         chosen = chosen | ((F.col("y") == value) & (place < int(min(1.0, n / max(1, counts.get(value, 0))) * (1 << 30))))
-    ids = known.where(chosen).dropDuplicates(["doc_id"]).limit(2 * sum(per_class.values()))
-    got = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").collect()
-    return [(r["text"], r["y"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))]
+    ids = known.where(chosen).limit(2 * sum(per_class.values()))
+    got = docs.select("doc_id", "text").where(F.length("text") <= most_chars).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return [(r["text"], r["y"]) for r in sorted(got.collect(), key=lambda r: r["doc_id"])]
 
 
 # ---- words and shingles as arrays -------------------------------------------------------------
