@@ -3,9 +3,9 @@
 ``minhash_near_dedup`` signs with a circulant MinHash: one permutation scatters the shingle hashes over
 the 2**32 ring, a second one, shifted circularly by one more step for each coordinate, ranks them.
 
-Texts with equal shingle sets form a class, stood for by its least doc_id; from there on only class
-representatives are handled, so thousands of copies cost one row. Within a band's bucket every member
-is paired with two centres (the least id and a pseudo-random one), and the pairs are verified on full sets.
+Texts with equal shingle sets form a class with a number of its own; from there on only classes
+are handled, so thousands of copies cost one row. Within a band's bucket every class
+is paired with two centres (the least number and a pseudo-random one), and the pairs are verified on full sets.
 Where that leaves a bucket of three or more in several components, all pairs of members from different
 components are compared by signature in blocks of bounded size and the likely ones verified there, so
 the components are those of all candidate pairs although dense buckets never emit their pairs.
@@ -17,17 +17,17 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_docs, shingle_hashes, skew_join, written
+from .common import batches_of_docs, map_columns, marked, shingle_hashes, skew_join, slices, written
 from .components import components
 
 WORDS, BANDS, ROWS = 5, 24, 5
 SIGNATURE = BANDS * ROWS
 LINK_NUMERATOR, LINK_DENOMINATOR = 85, 100
 BLOCK = 256
-FILTER_BITS = 26
 
 
 def _permute(x: np.ndarray, odd1: int, odd2: int, offset: int) -> np.ndarray:
@@ -68,61 +68,45 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _signed(sign, bands: int, rows: int, width: int):
+def signed(docs: DataFrame, sign=circulant_signatures, bands: int = BANDS, rows: int = ROWS, width: int = WORDS) -> DataFrame:
+    """(doc_id, place, n_shingles, set_key, bands, sketch) of each row; the last three are null for an empty set.
+
+    ``place`` is a hash of the text, by which a later scan finds it again.
+    """
+
     def run(parts):
         for part in parts:
-            for at in range(0, len(part), 512):
-                pdf = part.iloc[at : at + 512]
-                sets = [shingle_hashes(t, width) if t else np.empty(0, np.uint64) for t in pdf["text"]]
+            for some in slices(part):
+                sets = [shingle_hashes(t, width) if t else np.empty(0, np.uint64) for t in some["text"]]
                 signatures = sign(sets, bands * rows)
-                keys = band_keys(signatures, bands, rows)
-                yield pd.DataFrame({
-                    "doc_id": pdf["doc_id"].values,
-                    "n_shingles": [len(s) for s in sets],
+                keys = band_keys(signatures, bands, rows).tolist()
+                yield {
+                    "doc_id": some["doc_id"], "place": some["place"], "n_shingles": [len(s) for s in sets],
                     "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                     "bands": [k if len(s) else None for k, s in zip(keys, sets)],
                     "sketch": [(s & np.uint32(255)).astype(np.uint8).tobytes() if len(x) else None for s, x in zip(signatures, sets)],
-                })
-
-    return run
-
+                }
 
-def signed(docs: DataFrame, sign=circulant_signatures, bands: int = BANDS, rows: int = ROWS, width: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands, sketch) of each row; the last three are null for an empty set."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
-        _signed(sign, bands, rows, width), "doc_id long, n_shingles long, set_key binary, bands array<bigint>, sketch binary"
-    )
+    fields = {"doc_id": pa.int64(), "place": pa.int64(), "n_shingles": pa.int64(), "set_key": pa.binary(), "bands": pa.list_(pa.int64()), "sketch": pa.binary()}
+    return map_columns(docs.select("doc_id", "text", F.xxhash64("text").alias("place")), run, fields)
 
 
-def _id_filter(ids: DataFrame) -> dict[int, bytes]:
-    """A bitmap of hashed doc ids, of at most 2**FILTER_BITS bits: it lets every id of ``ids`` pass and few others.
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cid, members) with the shingle hashes of every class in ``wanted`` (cid, set_key, place).
 
-    Spark builds it in pieces of 4 KB; what reaches the driver is bounded by FILTER_BITS whatever the number of ids.
+    The documents are scanned once more and only sets leave the scan, those of the wanted places and of a few that the
+    bitmap lets pass; no text shuffles.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    # Spark's bitmaps count from 1.
-    pieces = ids.select((place + 1).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits"))
-    return {r["n"]: bytes(r["bits"]) for r in pieces.collect()}
-
-
-def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, members) with the shingle hashes of every document in ``ids``, and of a few that the filter lets pass.
-
-    The documents are scanned once more and only the sets leave the scan; no text shuffles.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
 
     def sets(parts):
-        pieces = sent.value
         for part in parts:
-            for at in range(0, len(part), 1024):
-                pdf = part.iloc[at : at + 1024]
-                hit = [bool((piece := pieces.get(h // 32768 + 1)) and piece[h % 32768 // 8] >> h % 8 & 1) for h in pdf["h"].tolist()]
-                pdf = pdf[hit]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "members": [shingle_hashes(t, width).tobytes() for t in pdf["text"]]})
+            for some in slices(part):
+                raw = [shingle_hashes(t, width).tobytes() for t in some["text"]]
+                yield {"set_key": [hashlib.blake2b(x, digest_size=16).digest() for x in raw], "members": raw}
 
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("h"))
-    return rows.mapInPandas(sets, "doc_id long, members binary")
+    hit = marked(docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("place")), wanted.select("place"), "place").where("_maybe").select("text")
+    found = written(map_columns(hit, sets, {"set_key": pa.binary(), "members": pa.binary()}), "sets")
+    return found.groupBy("set_key").agg(F.first("members").alias("members")).join(wanted.select("cid", "set_key").hint("merge"), "set_key").select("cid", "members")
 
 
 def _alike(a: np.ndarray, b: np.ndarray, numerator: int, denominator: int) -> bool:
@@ -136,18 +120,50 @@ def _alike(a: np.ndarray, b: np.ndarray, numerator: int, denominator: int) -> bo
 
 
 def _verified(pairs: DataFrame, members: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) of doc ids whose full shingle sets are alike enough."""
+    """Those of the distinct pairs (a, b) of classes whose full shingle sets are alike enough."""
 
     def alike(parts):
         for part in parts:
             keep = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), numerator, denominator) for x, y in zip(part["x"], part["y"])]
             yield part.loc[keep, ["a", "b"]]
 
-    one = skew_join(pairs, members.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), ["a"])
-    two = skew_join(one, members.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), ["b"])
+    one = skew_join(pairs, members.select(F.col("cid").alias("a"), F.col("members").alias("x")), ["a"])
+    two = skew_join(one, members.select(F.col("cid").alias("b"), F.col("members").alias("y")), ["b"])
     return two.select("a", "b", "x", "y").mapInPandas(alike, "a long, b long")
 
 
+def _crossing(pdf: pd.DataFrame):
+    """For each member of block i in turn, the places of those of block j in another component that no lower band's task takes."""
+    bands = np.stack(pdf["bands"].to_list())
+    cid, block = pdf["cid"].to_numpy(), pdf["block"].to_numpy()
+    band = int(np.flatnonzero(bands[0] == pdf["bucket"].iloc[0])[0])
+    left, right = pdf["i"].iloc[0], pdf["j"].iloc[0]
+    rows, columns = np.flatnonzero(block == left), np.flatnonzero(block == right)
+
+    def others(r, root):
+        found = columns[(root[columns] != root[r]) & ((cid[columns] > cid[r]) if left == right else True)]
+        return found[~(bands[found, :band] == bands[r, :band]).any(axis=1)]
+
+    return rows, others
+
+
+def _likely_members(least: float):
+    """The members of one block pair of a bucket that have a partner in another component with a sketch that agrees."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sketch, root = np.stack([np.frombuffer(s, np.uint8) for s in pdf["sketch"]]), pdf["root"].to_numpy()
+        rows, others = _crossing(pdf)
+        hit = np.zeros(len(pdf), bool)
+        for r in rows:
+            near = others(r, root)
+            near = near[(sketch[near] == sketch[r]).mean(axis=1) >= least]
+            hit[near] = True
+            hit[r] |= len(near) > 0
+        return pdf.loc[hit, ["bucket", "i", "j", "block", "cid", "root", "bands", "sketch"]]
+
+    return run
+
+
 def _cross_links(least: float, numerator: int, denominator: int):
     """A forest of the links between members of one block pair of a bucket that lie in different components.
 
@@ -156,71 +172,96 @@ def _cross_links(least: float, numerator: int, denominator: int):
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
         sketch = np.stack([np.frombuffer(s, np.uint8) for s in pdf["sketch"]])
-        bands = np.stack(pdf["bands"].to_list())
-        sets = [np.frombuffer(m, np.uint64) for m in pdf["members"]]
-        rep, root, block = pdf["rep"].to_numpy(), pdf["root"].to_numpy().copy(), pdf["block"].to_numpy()
-        band = int(np.flatnonzero(bands[0] == pdf["bucket"].iloc[0])[0])
-        left, right = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        rows, columns, found = np.flatnonzero(block == left), np.flatnonzero(block == right), []
+        sets, cid, root, found = [np.frombuffer(m, np.uint64) for m in pdf["members"]], pdf["cid"].to_numpy(), pdf["root"].to_numpy().copy(), []
+        rows, others = _crossing(pdf)
         for r in rows:
-            others = columns[(root[columns] != root[r]) & ((rep[columns] > rep[r]) if left == right else True)]
-            if len(others):
-                others = others[(sketch[others] == sketch[r]).mean(axis=1) >= least]
-                others = others[~(bands[others, :band] == bands[r, :band]).any(axis=1)]
-            for c in others:
+            near = others(r, root)
+            for c in near[(sketch[near] == sketch[r]).mean(axis=1) >= least]:
                 if root[c] != root[r] and _alike(sets[r], sets[c], numerator, denominator):
-                    found.append((rep[r], rep[c]))
+                    found.append((cid[r], cid[c]))
                     root[root == root[c]] = root[r]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def link_components(docs: DataFrame, sign=circulant_signatures, bands: int = BANDS, rows: int = ROWS, width: int = WORDS,
-                    numerator: int = LINK_NUMERATOR, denominator: int = LINK_DENOMINATOR) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; more columns are ignored).
+def linked_rows(docs: DataFrame, sign=circulant_signatures, bands: int = BANDS, rows: int = ROWS, width: int = WORDS,
+                numerator: int = LINK_NUMERATOR, denominator: int = LINK_DENOMINATOR, by_id: bool = True) -> DataFrame:
+    """(doc_id, place, n_shingles, set_key, cid, least) for each row of ``docs`` (doc_id, text).
 
-    Rows are linked if the Jaccard index of their sets of ``width``-word shingles is at least
-    numerator / denominator; component_id is the least doc_id reachable. Null, empty and blank texts have
-    no shingle and stand alone. A row that repeats a doc_id gets the component of its own text. A null
-    doc_id never names a component: such a row gets the least non-null id of its component, or null, and
-    isn't kept. An empty table gives an empty result. At a similarity at the threshold a pair shares no
-    band with a chance of under 1e-6 at the default parameters; that is the only way to lose a link.
+    ``cid`` names the component, null for a text without a shingle of an id that has no other; ``least`` is the
+    least doc_id in it, null where none is known. Without ``by_id`` rows that share an id aren't linked for that.
+    See ``link_components``.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows_of = written(signed(docs, sign, bands, rows, width), "signed")
-    known = rows_of.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-
-    members = classes.select("rep", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.min_by("rep", F.xxhash64("rep", "bucket")).alias("any")).where("n > 1")
-    shared = written(skew_join(members, buckets, ["bucket"]).select("bucket", "n", "rep", "least", "any"), "shared")
-    stars = shared.select("rep", F.explode(F.array("least", "any")).alias("centre")).where("rep <> centre")
-    tested = written(stars.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct(), "pairs")
-    candidates = tested.select(F.col("a").alias("doc_id")).union(tested.select(F.col("b").alias("doc_id"))).distinct()
-    # A doc_id that repeats with other texts stands by its least set, in every pair alike.
-    members = written(written(shingle_sets(docs, candidates, width), "sets").groupBy("doc_id").agg(F.min("members").alias("members")), "members")
-    links = written(_verified(tested, members, numerator, denominator), "links")
+    grouped = rows_of.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("place").alias("place"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+    members = classes.select("cid", F.explode("bands").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cid").alias("least"), F.min_by("cid", F.xxhash64("cid", "bucket")).alias("any")).where("n > 1")
+    shared = written(skew_join(members, buckets, ["bucket"]).select("bucket", "n", "cid", "least", "any"), "shared")
+    stars = shared.select("cid", F.explode(F.array("least", "any")).alias("centre")).where("cid <> centre")
+    tested = written(stars.select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct(), "pairs")
+    candidates = tested.select(F.col("a").alias("cid")).union(tested.select(F.col("b").alias("cid"))).distinct()
+    wanted = classes.select("cid", "set_key", "place").join(candidates, "cid", "left_semi")
+    members = written(shingle_sets(docs, wanted, width), "members")
+    # Texts that share an id are one document.
+    repeated = False
+    if by_id:
+        several = rows_of.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("set_key").alias("sets")).where("n > 1").select("doc_id", "sets")
+        several = written(several, "several")
+        repeated = bool(several.take(1))
+    links = _verified(tested, members, numerator, denominator)
+    if repeated:
+        own = rows_of.join(several.where("sets > 1"), "doc_id").join(classes.select("set_key", "cid"), "set_key").select("doc_id", "cid").distinct()
+        first = own.groupBy("doc_id").agg(F.min("cid").alias("first"))
+        links = links.union(own.join(first, "doc_id").where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")))
+    links = written(links, "links")
     roots = written(components(links), "roots")
 
-    # Buckets of three or more that still hold several components: the pairs that no star tested.
-    wide = shared.where("n > 2").select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    # Buckets of three or more that still hold several components: the pairs that no star tested. Sketches go to
+    # the blocks first, whole sets only of the members that have a likely partner there.
+    wide = shared.where("n > 2").select("bucket", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     torn = wide.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
     rest = skew_join(wide, torn, ["bucket"])
-    rest = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    bodies = classes.select("rep", "sketch", "bands").join(members.withColumnRenamed("doc_id", "rep"), "rep")
-    rest = rest.join(bodies, "rep").select("bucket", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "rep", "root", "sketch", "bands", "members")
+    rest = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rest = rest.join(classes.select("cid", "sketch", "bands"), "cid").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("bucket", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "cid", "root", "sketch", "bands")
     threshold = numerator / denominator
-    likely = threshold - 5 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
-    crossing = rest.groupBy("bucket", "i", "j").applyInPandas(_cross_links(likely, numerator, denominator), "a long, b long")
-    final = written(components(links.union(crossing)), "roots")
+    least = threshold - 5 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
+    schema = "bucket long, i int, j int, block int, cid long, root long, bands array<bigint>, sketch binary"
+    likely = written(rest.groupBy("bucket", "i", "j").applyInPandas(_likely_members(least), schema), "likely")
+    crossing = likely.join(members, "cid").groupBy("bucket", "i", "j").applyInPandas(_cross_links(least, numerator, denominator), "a long, b long")
+    crossing = written(crossing, "crossing")
+    final = written(components(links.union(crossing)), "roots") if crossing.take(1) else roots
+
+    named = classes.select("set_key", "cid", "rep").join(final.withColumnRenamed("node", "cid"), "cid", "left").select("set_key", "rep", F.coalesce("root", "cid").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("rep").alias("least"))
+    named = written(skew_join(named, lowest, ["root"]).select("set_key", "root", "least"), "named")
+    out = skew_join(rows_of.select("doc_id", "place", "n_shingles", "set_key"), named, ["set_key"], "left")
+    if repeated:  # a text without a shingle belongs to its id's component
+        with_words = rows_of.join(several, "doc_id").where("set_key IS NOT NULL").select("doc_id", "set_key").join(named, "set_key")
+        by_id = with_words.groupBy("doc_id").agg(F.first("root").alias("own_root"), F.first("least").alias("own_least"))
+        out = out.join(by_id, "doc_id", "left").withColumn("root", F.coalesce("root", "own_root")).withColumn("least", F.coalesce("least", "own_least"))
+    return out.select("doc_id", "place", "n_shingles", "set_key", F.col("root").alias("cid"), "least")
 
-    named = classes.select("set_key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
-    out = skew_join(rows_of.select("doc_id", "n_shingles", "set_key"), written(named, "named"), ["set_key"], "left")
-    component = F.coalesce("root", "doc_id")
+
+def link_components(docs: DataFrame, sign=circulant_signatures, bands: int = BANDS, rows: int = ROWS, width: int = WORDS,
+                    numerator: int = LINK_NUMERATOR, denominator: int = LINK_DENOMINATOR) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; more columns are ignored).
+
+    Rows are linked if the Jaccard index of their sets of ``width``-word shingles is at least
+    numerator / denominator; component_id is the least doc_id reachable. Null, empty and blank texts have
+    no shingle and stand alone. Rows that repeat a doc_id are one document, linked by each of its texts. A null
+    doc_id never names a component: such a row gets the least non-null id of its component, or null, and
+    isn't kept. An empty table gives an empty result. A link can be lost in two ways: at the threshold a pair shares no
+    band with a chance of under 1e-6 at the default parameters, and a pair that no star tested is passed over where its
+    sketches agree five standard deviations less than expected, a chance of under 1e-6 too.
+    """
+    out = linked_rows(docs, sign, bands, rows, width, numerator, denominator)
+    component = F.coalesce("least", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
