@@ -14,41 +14,46 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_root, skew_join
+from .common import map_columns, scratch_root, skew_join, written
 
 SEGMENT_BYTES = 32 * 1024
 DEDUP_FROM = 1000
 RECORDS_PER_FILE = 1000
 CHUNK_BYTES = 4096
 END = "\r\n\r\n"
+_NAMESPACE = uuid.UUID("7d3c2f0a-52f1-4a86-9c59-0e4f8e0d6b11")
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", dedup_from: int = DEDUP_FROM) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) for each row.
+    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to, referred) for each row.
 
     Of rows with equal payloads of at least ``dedup_from`` bytes the one with the largest id is a response and the
     others revisit it. Null payloads are empty ones. Rows that tie on the largest id are all responses; a row
-    with a null id revisits the largest id, or is a response where no id is known.
+    with a null id revisits the largest id, or is a response where no id is known. ``referred``: the payload has one
+    response that others revisit, whose record id follows from page and payload.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     # One entry for each payload that repeats; the digests of single pages are dropped before the join.
-    carried = rows.where(F.col("payload_bytes") >= dedup_from).groupBy("payload_digest").agg(F.max("page_id").alias("carrier"), F.count("*").alias("n")).where("n > 1")
-    joined = skew_join(rows, carried.select("payload_digest", "carrier"), ["payload_digest"], "left")
+    each = rows.where(F.col("payload_bytes") >= dedup_from).groupBy("payload_digest", "page_id").agg(F.count("*").alias("n"))
+    carried = each.groupBy("payload_digest").agg(F.max("page_id").alias("carrier"), F.max_by("n", "page_id").alias("ties"), F.sum("n").alias("n")).where("n > 1")
+    joined = skew_join(rows, carried.select("payload_digest", "carrier", "ties"), ["payload_digest"], "left")
     revisits = F.col("carrier").isNotNull() & (F.col("payload_bytes") >= dedup_from) & ~F.col("page_id").eqNullSafe(F.col("carrier"))
     return joined.select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest",
         F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("carrier")).alias("refers_to"),
+        (F.col("ties") == 1).alias("referred"),
     )
 
 
@@ -78,12 +83,17 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
 
 
 def _one_line(value) -> str | None:
-    return None if value is None or value != value else "".join(str(value).split("\r")).replace("\n", "")
+    return None if value is None else "".join(str(value).split("\r")).replace("\n", "")
 
 
-def records_of(page_id, url, payload: bytes, digest: str, record_type: str, refers_to, segment_bytes: int) -> list[bytes]:
-    """The record of one page, and its continuations."""
-    own = f"<urn:uuid:{uuid.uuid4()}>"
+def record_id(page_id, digest: str) -> str:
+    """The id of the record that revisits refer to."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id} {digest}')}>"
+
+
+def records_of(page_id, url, payload: bytes, digest: str, record_type: str, refers_to, segment_bytes: int, referred: bool = False) -> list[bytes]:
+    """The record of one page, and its continuations. ``referred``: revisits name the response by ``record_id``."""
+    own = record_id(page_id, digest) if referred and record_type == "response" else f"<urn:uuid:{uuid.uuid4()}>"
     block = _HEAD + (chunked(payload) if record_type == "response" else b"")
     segments = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
     common = [("WARC-Target-URI", _one_line(url)), ("WARC-Date", "2024-01-01T00:00:00Z")]
@@ -91,6 +101,7 @@ def records_of(page_id, url, payload: bytes, digest: str, record_type: str, refe
         ("WARC-Type", record_type), ("WARC-Record-ID", own), *common, ("Content-Type", "application/http;msgtype=response"),
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()), ("Vellum-Payload-Length", len(payload)),
         ("Vellum-Page-ID", page_id), ("Vellum-Refers-To-Page-ID", refers_to),
+        ("WARC-Refers-To", record_id(refers_to, digest) if referred and refers_to is not None else None),
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if record_type == "revisit" else None),
     ]
     if len(segments) == 1:
@@ -106,73 +117,105 @@ def write_archives(marked: DataFrame, path: str, segment_bytes: int = SEGMENT_BY
     """Write the rows of ``with_revisits`` as gzipped WARC files under ``path``.
 
     A record holds at most ``segment_bytes`` of content and a file at most ``records_per_file`` records, which bounds
-    what a reading task holds however long a page is.
+    what a reading task holds however long a page is. Spark's text writer makes one gzip member of a file.
     """
 
     def build(parts):
         for part in parts:
             records = []
-            for row in part.itertuples(index=False):
-                ids = [None if pd.isna(x) else int(x) for x in (row.page_id, row.refers_to)]
-                records += records_of(ids[0], row.url, bytes(row.payload), row.payload_digest, row.record_type, ids[1], segment_bytes)
+            for row in zip(*(part[c] for c in ("page_id", "url", "payload", "payload_digest", "record_type", "refers_to", "referred"))):
+                page_id, url, payload, digest, record_type, refers_to, referred = row
+                records += records_of(page_id, url, payload, digest, record_type, refers_to, segment_bytes, bool(referred))
                 if len(records) >= 500:
-                    yield pd.DataFrame({"record": records})
+                    yield {"record": records}
                     records = []
-            yield pd.DataFrame({"record": records})
+            yield {"record": records}
 
-    columns = marked.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")
-    records = columns.mapInPandas(build, "record binary").select(F.col("record").cast("string").alias("value"))
+    columns = marked.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to", "referred")
+    records = map_columns(columns, build, {"record": pa.binary()}).select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path, compression="gzip")
 
 
+def _inflated(data: bytes) -> tuple[bytes, bool]:
+    """(content of all gzip members that can be read, whether that is all)."""
+    plain = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            plain.append(member.decompress(data) + member.flush())
+        except zlib.error:
+            return b"".join(plain), False
+        if not member.eof:
+            return b"".join(plain), False
+        data = member.unused_data
+    return b"".join(plain), not data.strip(b"\0")
+
+
+def _head(lines: list[str]) -> dict[str, str]:
+    fields, name = {}, None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:  # a folded field
+            fields[name] += " " + line.strip()
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            fields[name] = value.strip()
+    return fields
+
+
 def parse_records(data: bytes):
-    """(header fields in lower case, block) of each record; gzip members are inflated one by one.
+    """(header fields in lower case, block, problem) of each record; gzip members are inflated one by one.
 
-    A record whose head or block is cut short raises ValueError.
+    Where a record can't be read (its head is no WARC head, or its block is cut short) there is a row
+    with empty fields and the problem, and reading goes on at the next place where a record begins after two line ends.
     """
+    whole = True
     if data[:2] == b"\x1f\x8b":
-        plain = []
-        while data:
-            member = zlib.decompressobj(31)
-            plain.append(member.decompress(data) + member.flush())
-            data = member.unused_data
-        data = b"".join(plain)
+        data, whole = _inflated(data)
     at = 0
     while at < len(data):
         if data[at : at + 2] == b"\r\n":
             at += 2
             continue
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8").split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError("not a WARC record")
-        fields = {}
-        for line in lines:
-            if line[:1] in " \t" and fields:  # a folded field
-                fields[name] += " " + line.strip()
-            else:
-                name, _, value = line.partition(":")
-                name = name.strip().lower()
-                fields[name] = value.strip()
-        size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size:
-            raise ValueError("cut record")
-        yield fields, block
-        at = end + 4 + size
-
-
-_PAGE = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, segments int, problem string"
+        end = data.find(b"\r\n\r\n", at)
+        try:
+            version, *lines = data[at:end].decode("utf-8").split("\r\n") if end >= 0 else [""]
+            fields = _head(lines)
+            size = int(fields["content-length"]) if version.startswith("WARC/") else -1
+            int(fields.get("warc-segment-number", 1))
+            good = 0 <= size <= len(data) - end - 4 and "warc-type" in fields
+        except (KeyError, ValueError):
+            good = False
+        if good:
+            yield fields, data[end + 4 : end + 4 + size], None
+            at = end + 4 + size
+        else:
+            yield {}, b"", "damaged record"
+            following = data.find(b"\r\n\r\nWARC/", at)
+            at = len(data) if following < 0 else following + 4
+    if not whole:
+        yield {}, b"", "damaged archive"
+
+
+_PAGE = {
+    "page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary(), "payload_bytes": pa.int64(),
+    "payload_digest": pa.string(), "segments": pa.int32(), "problem": pa.string(),
+}
+_SEGMENT = {"origin": pa.string(), "number": pa.int64(), "fields": pa.string(), "block": pa.binary()}
+
+
+def _number(fields: dict, name: str) -> int | None:
+    stated = fields.get(name, "")
+    return int(stated) if stated.lstrip("-").isdecimal() else None
 
 
 def _page(fields: dict, block: bytes, segments: int, problem: str | None) -> dict:
     """A page from its first record's fields and its whole block; ``problem`` says what didn't verify."""
-    number = lambda k: int(fields[k]) if k in fields else None
     stated = fields.get("warc-payload-digest", "")
-    digest = base64.b32decode(stated[5:]).hex() if stated.startswith("sha1:") else None
-    payload, size = None, number("vellum-payload-length")
-    if fields["warc-type"] == "response" and problem is None:
-        head, _, body = block.partition(b"\r\n\r\n")
+    digest = base64.b32decode(stated[5:]).hex() if re.fullmatch("sha1:[A-Z2-7]{32}", stated) else None
+    payload, size = None, _number(fields, "vellum-payload-length")
+    if fields.get("warc-type") in ("response", "resource") and problem is None:
+        head, _, body = block.partition(b"\r\n\r\n") if fields["warc-type"] == "response" else (b"", b"", block)
         try:
             payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
         except ValueError:
@@ -181,65 +224,56 @@ def _page(fields: dict, block: bytes, segments: int, problem: str | None) -> dic
             own, size = hashlib.sha1(payload).hexdigest(), len(payload)
             problem = "digest" if digest not in (None, own) else None
             digest = own
-    return {"page_id": number("vellum-page-id"), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "refers_to": number("vellum-refers-to-page-id"),
+    return {"page_id": _number(fields, "vellum-page-id"), "url": fields.get("warc-target-uri"), "record_type": fields.get("warc-type"), "refers_to": _number(fields, "vellum-refers-to-page-id"),
             "payload": payload, "payload_bytes": size, "payload_digest": digest, "segments": segments, "problem": problem}
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    names = [c.split()[0] for c in _PAGE.split(", ")]
-    out = pd.DataFrame(rows, columns=names)
-    for name in ("page_id", "refers_to", "payload_bytes"):
-        out[name] = out[name].astype("Int64")
-    return out
-
-
-def _whole(parts):
-    for part in parts:
-        for data in part["content"]:
-            rows = []
-            for fields, block in parse_records(bytes(data)):
-                if fields["warc-type"] in ("response", "revisit", "resource") and "warc-segment-number" not in fields:
-                    rows.append(_page(fields, block, 1, None))
-                    if len(rows) >= 500:
-                        yield _frame(rows)
-                        rows = []
-            yield _frame(rows)
-
-
-def _segments(parts):
+def _parsed(parts):
+    """Rows of whole pages, and rows of segments (those with an origin), of each archive."""
+    names = [*_PAGE, *_SEGMENT]
     for part in parts:
         for data in part["content"]:
             rows = []
-            for fields, block in parse_records(bytes(data)):
+            for fields, block, problem in parse_records(data):
                 if "warc-segment-number" in fields:
-                    origin = fields.get("warc-segment-origin-id", fields["warc-record-id"])
-                    rows.append((origin, int(fields["warc-segment-number"]), json.dumps(fields), block))
-            yield pd.DataFrame(rows, columns=["origin", "number", "fields", "block"]).astype({"number": "int32"})
-
-
-def _reassembled(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates("number").sort_values("number")
-    heads = [json.loads(f) for f in pdf["fields"]]
-    block = b"".join(bytes(b) for b in pdf["block"])
-    if list(pdf["number"]) != list(range(1, len(pdf) + 1)):
-        if pdf["number"].iloc[0] != 1:  # nothing names the page
-            return _frame([])
-        problem = "missing segment"
-    else:
-        problem = None if heads[-1].get("warc-segment-total-length") == str(len(block)) else "total length"
-    return _frame([_page(heads[0], block, len(pdf), problem)])
+                    origin = fields.get("warc-segment-origin-id", fields.get("warc-record-id"))
+                    rows.append({"origin": origin, "number": int(fields["warc-segment-number"]), "fields": json.dumps(fields), "block": block})
+                elif problem or fields["warc-type"] in ("response", "revisit", "resource"):
+                    rows.append(_page(fields, block, 1, problem))
+                if len(rows) >= 500:
+                    yield {c: [r.get(c) for r in rows] for c in names}
+                    rows = []
+            yield {c: [r.get(c) for r in rows] for c in names}
+
+
+def _reassembled(segments: pa.Table) -> pa.Table:
+    """The page of one origin from its segments in the order of their numbers; a repeated number counts once."""
+    rows = {}
+    for row in segments.to_pylist():
+        rows.setdefault(row["number"], row)
+    numbers = sorted(rows)
+    heads, block = [json.loads(rows[n]["fields"]) for n in numbers], b"".join(rows[n]["block"] for n in numbers)
+    problem = None if numbers == list(range(1, len(numbers) + 1)) else "missing segment"
+    if problem is None and heads[-1].get("warc-segment-total-length") != str(len(block)):
+        problem = "total length"
+    # Without the first segment nothing names the page.
+    page = _page(heads[0] if numbers[0] == 1 else {}, block, len(numbers), problem)
+    return pa.table({c: pa.array([page[c]], t) for c, t in _PAGE.items()})
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row for each page in the archives under ``path``: its fields, payload (null for a revisit) and ``problem``.
 
-    Segments are grouped by origin id, so a task holds the segments of one page at a time; records that are
-    whole never shuffle. ``problem`` is null, or names the check that failed: missing segment, total
-    length, chunks, digest. An empty folder gives an empty result.
+    Every file is read, whatever its name, once: whole pages and segments are written to the shared folder. Segments are grouped
+    by origin id, so a task holds the segments of one page at a time; records that are whole never shuffle.
+    ``problem`` is null, or names what failed: missing segment, total length, chunks, digest, damaged record
+    (which names no page) or damaged archive (the rest of a file can't be inflated). An empty folder gives an
+    empty result. A file is held in memory whole.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
-    segments = files.mapInPandas(_segments, "origin string, number int, fields string, block binary")
-    return files.mapInPandas(_whole, _PAGE).unionByName(segments.groupBy("origin").applyInPandas(_reassembled, _PAGE))
+    files = spark.read.format("binaryFile").load(path).select("content")
+    every = written(map_columns(files, _parsed, _PAGE | _SEGMENT), "records")
+    segments, whole = every.where("origin IS NOT NULL").select(*_SEGMENT), every.where("origin IS NULL").select(*_PAGE)
+    return whole.unionByName(segments.groupBy("origin").applyInArrow(_reassembled, whole.schema))
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
