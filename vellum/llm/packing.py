@@ -1,9 +1,8 @@
-"""Best-fit packing of token sequences with a bounded number of open bins.
+"""Online best-fit packing of token sequences with a bounded number of open bins.
 
 Open bins hang on their free space, and a bitset marks which free spaces occur; the lowest marked bit at or above a
-piece's length is its best fit. When all bins are open and none fits, the fullest closes. A task's pieces come
-longest first, which needs more open bins than a random order but wastes a hundredth of the space; the number of
-bins therefore goes with the number of pieces that a task gets.
+piece's length is its best fit. When all bins are open and none fits, the fullest closes. Pieces are taken as they
+come, in an order that has nothing to do with their lengths.
 """
 
 from __future__ import annotations
@@ -13,23 +12,24 @@ import zlib
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Known, map_columns, slices, written
 
-CAPACITY, OPEN_BINS, END_ID = 2048, 8192, 0
-PIECES_PER_TASK = 20_000
-MOST_WORDS = 700_000
+CAPACITY, OPEN_BINS, END_ID = 2048, 1024, 0
+PIECES_PER_TASK = 50_000
 _MARK = "\u0663"  # a digit
+_PIECE = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 
 
 class Words:
     """Ids of texts by the tokenizers library, kept for each word met.
 
     The vocabulary's splitter drops blanks and never joins what they part, so a text's ids are those of its words in
-    turn; words are encoded together, parted by a digit that stands alone.
+    turn; words are encoded together, parted by a digit that stands alone. A text in which a special token of the
+    vocabulary is spelt out is encoded whole, as the library reads it.
     """
 
     def __init__(self, path: str):
@@ -37,8 +37,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self._known: dict[str, bytes] = {"": b""}
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._known = Known()
         self._mark = self._ids([_MARK])[0]
         self.by_word = self._parts_words()
 
@@ -67,20 +67,19 @@ class Words:
             found.update({w: raw[4 * a : 4 * b] for w, a, b in zip(some, [0, *(m + n for m in marks)], [*marks, len(ids)])})
         rest = [w for w in words if w not in found]
         found.update({w: i.tobytes() for w, i in zip(rest, self._ids(rest))} if rest else {})
-        if len(self._known) < MOST_WORDS:
-            self._known.update(found)
+        self._known.learn(found)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.by_word:
-            return [i.tobytes() for i in self._ids(texts)]
+        plain = [self.by_word and not any(x in t for x in self._special) for t in texts]
+        whole = iter([i.tobytes() for i in self._ids([t for t, p in zip(texts, plain) if not p])] if not all(plain) else ())
         known = self._known
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in cut for w in words if w not in known}
+        cut = [t.replace("\n", " ").split(" ") if p else None for t, p in zip(texts, plain)]
+        new = {w for words in cut if words for w in words if w not in known}
         learnt = self._learn(list(new)) if new else {}
         look = known.__getitem__ if new <= known.keys() else lambda w: known[w] if w in known else learnt[w]
-        return [b"".join(map(look, words)) for words in cut]
+        return [next(whole) if words is None else b"".join(map(look, words)) for words in cut]
 
 
 @cache
@@ -98,20 +97,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         coder = words(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for part in parts:
-            for at in range(0, len(part), 256):
-                pdf = part.iloc[at : at + 256]
+            for some in slices(part):
                 out = []
-                for doc_id, raw in zip(pdf["doc_id"], coder.encode(list(pdf["text"]))):
+                for doc_id, raw in zip(some["doc_id"], coder.encode(some["text"])):
                     raw += end
                     for piece, start in enumerate(range(0, len(raw), 4 * capacity)):
                         cut = raw[start : start + 4 * capacity]
                         out.append((doc_id, piece, start // 4, len(cut) // 4, zlib.crc32(cut)))
-                frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                yield frame
+                yield dict(zip(_PIECE, zip(*out)))
 
     columns = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return columns.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_columns(columns, run, _PIECE)
 
 
 class OpenBins:
@@ -121,14 +117,14 @@ class OpenBins:
         self._capacity, self._most = capacity, most
         self._marks = 0  # bit f: some open bin has f free
         self._by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self._open = self.made = 0
+        self.open = self.made = self.closed = 0  # closed: those that were closed to make room
 
     def _take(self, free: int) -> int:
         bins = self._by_free[free]
         number = bins.pop()
         if not bins:
             self._marks ^= 1 << free
-        self._open -= 1
+        self.open -= 1
         return number
 
     def put(self, length: int) -> tuple[int, int]:
@@ -141,35 +137,33 @@ class OpenBins:
             self.made += 1
         left = free - length
         if left:
-            if self._open == self._most:
+            if self.open == self._most:
                 self._take((self._marks & -self._marks).bit_length() - 1)  # the fullest closes
+                self.closed += 1
             self._by_free[left].append(number)
             self._marks |= 1 << left
-            self._open += 1
+            self.open += 1
         return number, self._capacity - free
 
 
 def packed(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
-    """``cut`` with (sequence_id, offset): whole pieces put into sequences of at most ``capacity`` tokens.
+    """``cut`` with (sequence_id, offset, closed): whole pieces put into sequences of at most ``capacity`` tokens.
 
-    Pieces are dealt at random to tasks of about ``PIECES_PER_TASK``, which pack on their own, the longest first.
-    An empty table gives an empty result.
+    Pieces are dealt evenly to tasks of about ``PIECES_PER_TASK``, whatever their ids, and a task takes them in the order of
+    a hash. ``closed`` counts the bins that the task has closed so far because all were open. An empty table gives an empty result.
     """
     n = max(1, -(-cut.count() // PIECES_PER_TASK))
-    ordered = cut.repartition(n, F.xxhash64("doc_id", "piece", "start")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    ordered = cut.repartition(n).sortWithinPartitions(F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "length")
 
     def run(parts):
         from pyspark import TaskContext
 
         bins, task = OpenBins(capacity, open_bins), TaskContext.get().partitionId()
         for part in parts:
-            placed = [bins.put(x) for x in part["length"].tolist()]
-            part["sequence_id"] = [(task << 40) + b for b, _ in placed]
-            part["offset"] = [o for _, o in placed]
-            part["doc_id"] = part["doc_id"].astype("Int64")
-            yield part
+            placed = [(*bins.put(x), bins.closed) for x in part["length"]]
+            yield part | {"sequence_id": [(task << 40) + b for b, _, _ in placed], "offset": [o for _, o, _ in placed], "closed": [c for _, _, c in placed]}
 
-    return ordered.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_columns(ordered, run, _PIECE | {"sequence_id": pa.int64(), "offset": pa.int64(), "closed": pa.int64()})
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
