@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Known
+
 #: The split pattern that the tokenizers library's ByteLevel step applies; the rank files are made for it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MOST_CHUNKS = 700_000
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Blanks other than the space and the line feed, as any of the engines sees them: texts with one are encoded whole.
 _ODD_BLANK = re.compile(r"[^\S \n]")
@@ -67,14 +68,14 @@ def tokenizer_json(ranks: dict[bytes, int]) -> str:
 
 
 class Coder:
-    """Encodes and decodes in one worker; keeps the ids of the chunks that it has met, up to ``MOST_CHUNKS``."""
+    """Encodes and decodes in one worker; keeps the ids of the chunks that it has met, within the memory of ``Known``."""
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(model)
-        self._known: dict[str, bytes] = {"": b""}
+        self._known = Known()
         back = {c: b for b, c in byte_characters().items()}
         vocab = self._tokenizer.get_vocab()
         self._bytes = [b""] * (max(vocab.values()) + 1)
@@ -100,8 +101,7 @@ class Coder:
             found.update({c: raw[4 * (a + 1) : 4 * b] for c, a, b in zip(some, marks, marks[1:])})
         rest = [c for c in chunks if c not in found]
         found.update({c: i.tobytes() for c, i in zip(rest, self._encode(rest))} if rest else {})
-        if len(self._known) < MOST_CHUNKS:
-            self._known.update(found)
+        self._known.learn(found)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
