@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, map_columns, slices
 
 #: Training documents for each language at most, about; the n-gram tables, the penalty and the rounds.
 FIT_DOCS, SIZES, BUCKETS, UNIT_WORDS = 400, (2, 3, 4), 1 << 16, 3
+#: Languages learned at most, the most frequent ones, and the characters that all samples have together, about.
+MOST_LANGUAGES, FIT_CHARS = 100, 64 << 20
 ROUNDS, PENALTY, CAP = 8, 3.0, 20.0
 UNDETERMINED = "und"
 _SLICE_CHARS = 1 << 18
@@ -82,6 +85,8 @@ class Model:
     def fit(cls, samples: dict[str, list[str]]) -> Model:
         names = sorted(samples)
         counts = np.zeros((len(SIZES), BUCKETS, len(names)))
+        if not names:
+            return cls(names, counts.astype(np.float32))
         for j, name in enumerate(names):
             for first, last in _slices(samples[name]):
                 for k, (buckets, outside) in enumerate(unit_grams(samples[name][first:last])[3]):
@@ -108,6 +113,8 @@ class Model:
 
     def infer(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(float[texts, languages] proportions, bool[texts] whether there is a word)."""
+        if not self.languages:
+            return np.zeros((len(texts), 1)), np.zeros(len(texts), bool)
         document, scores = self.unit_scores(texts)
         n, size = len(texts), len(self.languages)
         units = np.bincount(document, minlength=n) if len(document) else np.zeros(n, np.int64)
@@ -116,13 +123,13 @@ class Model:
         share, total = self._maximised(document, likely, active, units)
         cost = PENALTY + 0.5 * np.log(np.maximum(units, 1))  # of one more language
         undecided = units > 0
-        # The best language alone, then one language less at a time for those that need several.
+        # Where the best language alone loses less than one cost, no step below would stop before it.
         alone = np.zeros((n, size))
         if len(document):
             starts = np.flatnonzero(np.diff(document, prepend=-1))
             alone[document[starts]] = np.add.reduceat(scores, starts, axis=0)
         best = alone.argmax(axis=1)
-        single = undecided & (total - alone[np.arange(n), best] < (size - 1) * cost)
+        single = undecided & (total - alone[np.arange(n), best] < cost)
         share[single] = 0
         share[single, best[single]] = 1
         undecided &= ~single
@@ -170,20 +177,22 @@ def _slices(texts: list[str]):
         yield first, len(texts)
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
-    """A model from about ``fit_docs`` documents of each language, chosen by a hash of doc_id.
+def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, most_languages: int = MOST_LANGUAGES, fit_chars: int = FIT_CHARS) -> Model:
+    """A model from about ``fit_docs`` documents of each of the ``most_languages`` most frequent languages, chosen by a hash of doc_id.
 
-    Only rows outside the held-out fold with text and a language are used. Languages are counted first; the number of
-    values of ``lang`` is small by nature. Raises ValueError without a training row.
+    Only rows outside the held-out fold with text and a language are used. A language gets fewer documents where its share of ``fit_chars``
+    wouldn't hold as many, and texts beyond that share alone aren't learned from. Without a training row the model knows no language.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)).alias("place"), "doc_id"
     )
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not counts:
-        raise ValueError("no document outside the held-out fold has a text and a language")
-    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, fit_docs / n) * (1 << 30)))])
-    chosen = known.where(F.col("place") < F.element_at(limits, F.col("lang"))).select("lang", "text", "doc_id").limit(2 * fit_docs * len(counts))
+        return Model.fit({})
+    room = fit_chars // len(counts)
+    share = {r["lang"]: min(1.0, max(8 / r["n"], min(fit_docs / r["n"], room / max(1, r["chars"])))) for r in counts}
+    limits = F.create_map(*[F.lit(x) for lang, part in share.items() for x in (lang, int(part * (1 << 30)))])
+    chosen = known.where((F.col("place") < F.try_element_at(limits, F.col("lang"))) & (F.length("text") <= room)).select("lang", "text", "doc_id").limit(2 * fit_docs * len(counts))
     samples: dict[str, list[str]] = {}
     for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"], r["text"])):
         samples.setdefault(r["lang"], []).append(r["text"])
@@ -210,31 +219,29 @@ def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, languages) for each row.
 
     ``languages`` is the selected set, the largest share first. ``score`` is the share of the predicted
-    language. Null texts and those without a letter give ``und`` with score 0. Ties go to the first language by name.
-    Rows that repeat an id are predicted one by one. An empty table gives an empty result.
+    language. Null texts and those without a letter give ``und`` with score 0, and so does every text where nothing could be
+    learned. Ties go to the first language by name. Rows that repeat an id are predicted one by one. An empty table gives an
+    empty result.
     """
-    if model is None:
-        if not docs.take(1):
-            return docs.sparkSession.createDataFrame([], "doc_id long, held_out boolean, lang_pred string, score double, languages string")
-        model = fit(docs)
+    model = fit(docs) if model is None else model
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.tables))
+    fields = {"doc_id": pa.int64(), "held_out": pa.bool_(), "lang_pred": pa.string(), "score": pa.float64(), "languages": pa.string()}
 
     def run(parts):
         own = Model(*sent.value)
         for part in parts:
-            every = list(part["text"])
-            for first, last in _slices(every):
-                share, worded = own.infer(every[first:last])
+            for some in slices(part, most_rows=4096, most_chars=_SLICE_CHARS):
+                share, worded = own.infer(some["text"])
                 share = np.round(share.astype(np.float64), 6)
                 order = np.argsort(-share, axis=1, kind="stable")
                 top = share[np.arange(len(share)), order[:, 0]]
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].iloc[first:last].astype("Int64"),
-                    "held_out": part["held_out"].iloc[first:last],
+                yield {
+                    "doc_id": some["doc_id"],
+                    "held_out": some["held_out"],
                     "lang_pred": [own.languages[o[0]] if w else UNDETERMINED for o, w in zip(order, worded)],
                     "score": np.where(worded, np.clip(top, 0, 1), 0.0),
                     "languages": [",".join(own.languages[j] for j in o if s[j] > 0.001) if w else "" for o, s, w in zip(order, share, worded)],
-                })
+                }
 
     columns = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return columns.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, languages string")
+    return map_columns(columns, run, fields)
