@@ -1,38 +1,45 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
 
-A text is a row of words. Each word enters with what the training rows say of the word itself and of its character
-n-grams (log odds of occurring in toxic documents). Overlapping windows of words pass through the network, which reads each
-in both directions and pools its states by attention; a document scores by its highest window.
+A text is a row of words. A word enters with learned numbers of its own and of its character n-grams, which gradient
+descent moves together with the network; those that say how toxic a word or n-gram is start from the log odds of the
+training rows, the others at random. Overlapping windows of words pass through the network, which reads each in both
+directions and pools its states by attention; a document scores by its highest window.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, held_out, labelled_sample, shingle_hashes, word_hashes
+from .common import distinct, held_out, labelled_sample, map_columns, shingle_hashes, slices, word_hashes
 from .neardup import circulant_signatures
 from .neural import Adam, logistic_fit, sigmoid
 
 #: Training documents of each class at most, about.
-FIT_ROWS = {0: 2400, 1: 1400}
+FIT_ROWS = {0: 1600, 1: 1000}
 WINDOW, STEP, MARGIN = 32, 24, 4
 GRAMS, BUCKET_BITS, SMOOTH = (4, 5, 6), 18, 6.0
-INPUTS, HIDDEN, ATTENTION = 4, 8, 8
-EPOCHS, BATCH, RATE = 7, 64, 0.01
+#: Free numbers of a word and of a short n-gram; what a word enters with; documents that must have a bucket for it to be learned.
+FREE = 2
+INPUTS, HIDDEN, ATTENTION = 4 + 2 * FREE, 8, 8
+SEEN = 3
+#: Rounds over the rows; small samples get as many as make about LEAST_STEPS steps.
+EPOCHS, LEAST_STEPS, BATCH, RATE, TABLE_RATE = 5, 60, 64, 0.01, 0.01
 THRESHOLD = 0.3
 _SLICE_CHARS, _SLICE_WINDOWS = 1 << 19, 4096
+_NONE = 1 << BUCKET_BITS  # the bucket of a place without an n-gram
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def word_buckets(texts: list[str]):
-    """(words of each text, bucket of each word, place of each word's first gram, [(bucket, whether the place has no gram)] by size).
+    """(words of each text, bucket of each word, first place of each word and the end, buckets at each place by size).
 
-    Words are runs of letters and digits, lower-cased; their n-grams are of bytes with a blank on either side.
+    Words are runs of letters and digits, lower-cased; their n-grams are of bytes with a blank on either side. A place without
+    an n-gram has the bucket _NONE.
     """
     lowered = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(lowered) + b"\n", np.uint8)
@@ -40,10 +47,10 @@ def word_buckets(texts: list[str]):
     edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     of_text = np.bincount(np.searchsorted(np.cumsum([len(t) + 1 for t in lowered]), starts, "right"), minlength=len(texts))
-    if not len(starts):
-        return of_text, np.empty(0, np.int64), np.empty(0, np.int64), []
-    own = (word_hashes(data, starts, ends) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     blanks = np.concatenate(([0], np.cumsum(ends - starts + 1)))
+    if not len(starts):
+        return of_text, np.empty(0, np.int32), blanks, [np.empty(0, np.int32) for _ in GRAMS]
+    own = (word_hashes(data, starts, ends) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
     padded = np.full(blanks[-1] + max(GRAMS), 32, np.uint32)
     place = np.ones(blanks[-1], bool)
     place[blanks[:-1]] = False
@@ -53,62 +60,96 @@ def word_buckets(texts: list[str]):
         value *= np.uint32(0x01000193)
         value += padded[n - 1 : n - 1 + count]
         if n in GRAMS:
+            buckets = ((value * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
             # Places from which n bytes reach beyond the blank after the word.
-            outside = np.zeros(count, bool)
             for j in range(1, n - 1):
-                outside[np.maximum(blanks[1:] - j, blanks[:-1])] = True
-            outside[blanks[:-1]] = np.diff(blanks) < n - 1
-            grams.append(((value * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS), outside))
-    return of_text, own, blanks[:-1], grams
-
-
-class Evidence:
-    """Log odds of words and n-grams, by the number of toxic and other training documents that have them."""
-
-    def __init__(self, tables: np.ndarray):
-        self.tables = tables  # float32[1 + sizes, buckets]
-
-    @staticmethod
-    def counts(rows: list[tuple[str, int]]) -> np.ndarray:
-        """int[2, 1 + sizes, buckets], and the documents of each class in the first word bucket's place beyond the end."""
-        out = np.zeros((2, 1 + len(GRAMS), (1 << BUCKET_BITS) + 1), np.int32)
-        for text, label in rows:
-            _, own, _, grams = word_buckets([text])
-            out[label, :, -1] += 1
-            if len(own):
-                out[label, 0, distinct(own)] += 1
-                for k, (buckets, outside) in enumerate(grams, 1):
-                    out[label, k, distinct(buckets[~outside])] += 1
-        return out
-
-    @classmethod
-    def of(cls, counts: np.ndarray) -> Evidence:
-        documents = counts[:, :, -1:].astype(np.float64)
-        share = documents / np.maximum(1, documents.sum(axis=0))
-        odds = np.log((counts[1] + SMOOTH * share[1] + 1e-9) / (counts[0] + SMOOTH * share[0] + 1e-9))
-        odds -= np.log((documents[1] + 1e-9) / (documents[0] + 1e-9))
-        return cls(np.clip(odds[:, :-1], -4, 4).astype(np.float32))
-
-    def inputs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(words of each text, float32[words, INPUTS]): of the word, its best short and long n-grams, and their mean."""
-        of_text, own, places, grams = word_buckets(texts)
-        out = np.zeros((len(own), INPUTS), np.float32)
-        if len(own):
-            out[:, 0] = self.tables[0].take(own)
-            total = None
-            for k, (buckets, outside) in enumerate(grams, 1):
-                values = self.tables[k].take(buckets)
-                values[outside] = 0
-                best = np.maximum.reduceat(values, places)
-                column = 1 if k == 1 else 2
-                out[:, column] = np.maximum(out[:, column], best)
-                total = values if total is None else total + values
-            out[:, 3] = np.add.reduceat(total, places) / np.diff(np.append(places, len(total)))
-        return of_text, out * np.float32(0.5)
-
-
-def windows_of(of_text: np.ndarray, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs [WINDOW, n, INPUTS], mask [WINDOW, n], windows of each text).
+                buckets[np.maximum(blanks[1:] - j, blanks[:-1])] = _NONE
+            buckets[blanks[:-1][np.diff(blanks) < n - 1]] = _NONE
+            grams.append(buckets)
+    return of_text, own, blanks, grams
+
+
+def bucket_counts(rows: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(int[2, 1 + sizes, buckets + 1] documents of each class with a bucket, documents of each class)."""
+    out, documents = np.zeros((2, 1 + len(GRAMS), _NONE + 1), np.int32), np.zeros(2)
+    for text, label in rows:
+        _, own, _, grams = word_buckets([text])
+        documents[label] += 1
+        for k, buckets in enumerate([own, *grams]):
+            out[label, k, distinct(buckets)] += 1
+    return out, documents
+
+
+def log_odds(counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of the buckets; 0 where there is no n-gram."""
+    share = documents / max(1, documents.sum())
+    odds = np.log((counts[1] + SMOOTH * share[1] + 1e-9) / (counts[0] + SMOOTH * share[0] + 1e-9)) - np.log((documents[1] + 1e-9) / (documents[0] + 1e-9))
+    odds[:, _NONE] = 0
+    return (0.5 * np.clip(odds, -4, 4)).astype(np.float32)
+
+
+def word_inputs(tables: dict, own: np.ndarray, blanks: np.ndarray, grams: list[np.ndarray], base: np.ndarray | None = None, half: np.ndarray | None = None, keep: bool = False):
+    """float32[words, INPUTS]: toxicity of the word, of its most toxic short and long n-gram, the mean, and the free numbers of both.
+
+    ``base`` [halves, 1 + sizes, buckets + 1] is added to the toxicities, by the half of each word.
+    """
+    out = np.zeros((len(own), INPUTS), np.float32)
+    if not len(own):
+        return out, None
+    sizes = np.diff(blanks)
+    each = None if half is None else np.repeat(half, sizes)
+    value = lambda k, buckets, rows: tables["toxic"][k].take(buckets) if base is None else tables["toxic"][k].take(buckets) + base[rows, k, buckets]
+    out[:, 0] = value(0, own, half)
+    total, values = None, []
+    for k, buckets in enumerate(grams, 1):
+        values.append(value(k, buckets, each))
+        column = 1 if k == 1 else 2
+        out[:, column] = np.maximum(out[:, column], np.maximum.reduceat(values[-1], blanks[:-1]))
+        total = values[-1] if total is None else total + values[-1]
+    out[:, 3] = np.add.reduceat(total, blanks[:-1]) / sizes
+    out[:, 4 : 4 + FREE] = tables["word"].take(own, axis=0)
+    out[:, 4 + FREE :] = np.add.reduceat(tables["gram"].take(grams[0], axis=0), blanks[:-1]) / sizes[:, None]
+    return out, (values if keep else None)
+
+
+def _moves(own, blanks, grams, inputs, values, back):
+    """(table, row of it or None, buckets, gradients) of the tables' numbers, from the gradient by the inputs."""
+    sizes = np.diff(blanks)
+    spread = lambda x: np.repeat(x, sizes, axis=0)
+    yield "toxic", 0, own, back[:, 0]
+    mean = spread(back[:, 3] / sizes)
+    for k, buckets in enumerate(grams, 1):
+        column = 1 if k == 1 else 2
+        best = (values[k - 1] == spread(inputs[:, column])) & (values[k - 1] > 0)
+        yield "toxic", k, buckets, mean + best * spread(back[:, column])
+    yield "word", None, own, back[:, 4 : 4 + FREE]
+    yield "gram", None, grams[0], spread(back[:, 4 + FREE :] / sizes[:, None])
+
+
+class Tables:
+    """The numbers of words and n-grams, and AdaGrad steps for those that a batch touches."""
+
+    def __init__(self, learned: np.ndarray):
+        random = np.random.default_rng(17)
+        self.learned = learned  # bool[1 + sizes, buckets + 1]
+        free = lambda k: (random.normal(0, 0.1, (_NONE + 1, FREE)) * learned[k][:, None]).astype(np.float32)
+        self.numbers = {"toxic": np.zeros((1 + len(GRAMS), _NONE + 1), np.float32), "word": free(0), "gram": free(1)}
+        self._squares = {k: np.full_like(v, 1e-8) for k, v in self.numbers.items()}
+
+    def update(self, moves) -> None:
+        for name, row, buckets, gradient in moves:
+            numbers, squares = self.numbers[name], self._squares[name]
+            numbers, squares = (numbers, squares) if row is None else (numbers[row], squares[row])
+            known = self.learned[row or int(name == "gram")][buckets]
+            touched, place = np.unique(buckets[known], return_inverse=True)
+            gradient = gradient[known].reshape(len(place), 1 if gradient.ndim == 1 else FREE)
+            total = np.stack([np.bincount(place, g, len(touched)) for g in gradient.T], axis=1).reshape(len(touched), *numbers.shape[1:])
+            squares[touched] += total * total
+            numbers[touched] -= TABLE_RATE * total / np.sqrt(squares[touched])
+
+
+def window_words(of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the word [WINDOW, n], or -1 where there is none; mask [WINDOW, n]; windows of each text).
 
     ``MARGIN`` blank words stand on either side of a text, so that its first and last words are read like any other.
     """
@@ -117,8 +158,12 @@ def windows_of(of_text: np.ndarray, inputs: np.ndarray) -> tuple[np.ndarray, np.
     number = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
     word = (number * STEP - MARGIN)[None] + np.arange(WINDOW)[:, None]
     size, first_word = of_text[owner][None], np.concatenate(([0], np.cumsum(of_text)[:-1]))[owner][None]
-    padded = np.concatenate([inputs, np.zeros((1, INPUTS), np.float32)])
-    return padded[np.where((word >= 0) & (word < size), first_word + word, len(inputs))], word < size + MARGIN, counts
+    return np.where((word >= 0) & (word < size), first_word + word, -1), word < size + MARGIN, counts
+
+
+def _placed(words: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+    """The inputs [WINDOW, n, INPUTS] of numbered words; the last row of the padded inputs stands for none."""
+    return np.concatenate([inputs, np.zeros((1, INPUTS), np.float32)])[words]
 
 
 def _initial() -> dict[str, np.ndarray]:
@@ -166,9 +211,10 @@ def _forward(weights: dict, inputs: np.ndarray, mask: np.ndarray, keep: bool = F
     return pooled @ weights["out"] + weights["constant"], (states, hidden, shares, pooled, kept_ahead, kept_behind)
 
 
-def _gradients(weights: dict, inputs: np.ndarray, mask: np.ndarray, error: np.ndarray, cache) -> dict:
-    """Back through pooling, attention and both directions; ``error`` is the gradient of the loss by the logits."""
+def _gradients(weights: dict, inputs: np.ndarray, mask: np.ndarray, error: np.ndarray, cache) -> tuple[dict, np.ndarray]:
+    """Back through pooling, attention and both directions to the inputs; ``error`` is the gradient of the loss by the logits."""
     states, hidden, shares, pooled, kept_ahead, kept_behind = cache
+    by_inputs = np.zeros_like(inputs)
     out = {"out": pooled.T @ error, "constant": error.sum(keepdims=True)}
     d_pooled = np.outer(error, weights["out"])
     d_states = shares[:, :, None] * d_pooled
@@ -192,22 +238,22 @@ def _gradients(weights: dict, inputs: np.ndarray, mask: np.ndarray, error: np.nd
             d_entering = np.concatenate([d_update, d_reset, d_fresh], axis=1)
             d_moved = np.concatenate([d_update, d_reset, d_fresh * reset], axis=1)
             d_in += inputs[t].T @ d_entering
+            by_inputs[t] += d_entering @ weights[f"{side}_in"].T
             d_bias += d_entering.sum(axis=0)
             d_state_in += before.T @ d_moved
             carried = carried - live * (1 - update) + d_moved @ state_in.T
         out |= {f"{side}_in": d_in, f"{side}_state": d_state_in, f"{side}_bias": d_bias}
-    return out
+    return out, by_inputs
 
 
 def _logits(weights: dict, inputs: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    n = inputs.shape[1]
-    return np.concatenate([_forward(weights, inputs[:, i : i + _SLICE_WINDOWS], mask[:, i : i + _SLICE_WINDOWS])[0] for i in range(0, n, _SLICE_WINDOWS)])
+    return _forward(weights, inputs, mask)[0]
 
 
 def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, prior: float | None = None) -> dict:
-    """Network and evidence learned from (text, label) rows; with a single class or none the score is constant.
+    """Network and tables learned from (text, label) rows; with a single class or none the score is constant.
 
-    Each half of the rows is trained on with the evidence of the other, so that rare words of a document don't vouch for its
+    Each half of the rows is trained on with the log odds of the other, so that rare words of a document don't vouch for its
     own label. A document learns through its highest window; other documents also through their second.
     """
     rows = without_copies(rows)
@@ -215,45 +261,65 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, prior: float | None
     labels = np.array([y for _, y in rows], np.float32)
     if len(set(labels.tolist())) < 2:
         weights["out"][:] = 0
-        empty = np.zeros((1 + len(GRAMS), 1 << BUCKET_BITS), np.float32)
-        return {"network": weights, "evidence": empty, "scale": np.array([1, 4 if len(labels) and labels[0] else -4 if len(labels) else 0], float)}
-    halves = [[i for i in range(len(rows)) if i % 2 == h] for h in (0, 1)]
-    counted = [Evidence.counts([rows[i] for i in half]) for half in halves]
-    parts, owners = [], []
-    for half, other in ((0, 1), (1, 0)):
-        evidence = Evidence.of(counted[other])
-        for at in range(0, len(halves[half]), 64):
-            some = halves[half][at : at + 64]
-            x, m, counts = windows_of(*evidence.inputs([rows[i][0] for i in some]))
-            parts.append((x, m))
-            owners.append(np.repeat(some, counts))
-    inputs, mask, owner = np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts], axis=1), np.concatenate(owners)
+        scale = np.array([1, 4 if len(labels) and labels[0] else -4 if len(labels) else 0], float)
+        return {"network": weights, "tables": Tables(np.zeros((1 + len(GRAMS), _NONE + 1), bool)).numbers, "scale": scale}
+    counted = [bucket_counts(rows[h::2]) for h in (0, 1)]
+    base = np.stack([log_odds(*counted[1]), log_odds(*counted[0])])
+    every, documents = counted[0][0] + counted[1][0], counted[0][1] + counted[1][1]
+    tables = Tables((every.sum(axis=0) >= SEEN) & (np.arange(_NONE + 1) < _NONE))
+
+    parts = [word_buckets([t for t, _ in rows[at : at + 64]]) for at in range(0, len(rows), 64)]
+    of_text, own = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    grams = [np.concatenate([p[3][k] for p in parts]) for k in range(len(GRAMS))]
+    blanks = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))))
+    parts = None
+    words, mask, windows = window_words(of_text)
+    owner, half = np.repeat(np.arange(len(rows)), windows), np.repeat(np.arange(len(rows)) % 2, of_text)
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     adam = Adam(weights, RATE)
 
     def ranked(values):
         """Windows by document, the highest first, and each one's place in its document."""
         order = np.lexsort((-values, owner))
-        first = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(rows)))[:-1]))
+        first = np.concatenate(([0], np.cumsum(windows)[:-1]))
         return order, np.arange(len(order)) - first[owner[order]]
 
-    values = inputs[:, :, 1:3].max(axis=(0, 2)) + inputs[:, :, 0].max(axis=0)
-    for epoch in range(epochs):
+    def valued():
+        inputs = word_inputs(tables.numbers, own, blanks, grams, base, half)[0]
+        return inputs, np.concatenate([_logits(weights, _placed(words[:, i : i + _SLICE_WINDOWS], inputs), mask[:, i : i + _SLICE_WINDOWS]) for i in range(0, len(owner), _SLICE_WINDOWS)])
+
+    inputs = word_inputs(tables.numbers, own, blanks, grams, base, half)[0]
+    toxic = np.append(inputs[:, 1:3].max(axis=1), 0) if len(own) else np.zeros(1)
+    values = toxic[words].max(axis=0) + np.append(inputs[:, 0], 0)[words].max(axis=0)
+    for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // (4 * len(rows))))):
         order, place = ranked(values)
         used = order[(place == 0) | ((place == 1) & (labels[owner[order]] == 0))]
         for _ in range(2):
             random.shuffle(used)
             for at in range(0, len(used), BATCH):
                 chosen = used[at : at + BATCH]
-                x, m, y = inputs[:, chosen], mask[:, chosen], labels[owner[chosen]]
+                w, m, y = words[:, chosen], mask[:, chosen], labels[owner[chosen]]
+                seen = distinct(w[w >= 0])
+                sizes = blanks[seen + 1] - blanks[seen]
+                here = np.concatenate(([0], np.cumsum(sizes)))
+                places = np.repeat(blanks[seen] - here[:-1], sizes) + np.arange(here[-1])
+                batch = (own[seen], here, [g[places] for g in grams])
+                got, kept = word_inputs(tables.numbers, *batch, base, half[seen], keep=True)
+                local = np.where(w >= 0, np.searchsorted(seen, w), len(seen))
+                x = _placed(local, got)
                 logits, cache = _forward(weights, x, m, keep=True)
                 error = (weight[owner[chosen]] * (sigmoid(logits) - y) / len(chosen)).astype(np.float32)
-                adam.update(_gradients(weights, x, m, error, cache))
-        values = _logits(weights, inputs, mask)
+                gradients, by_inputs = _gradients(weights, x, m, error, cache)
+                adam.update(gradients)
+                if len(seen):
+                    back = np.stack([np.bincount(local.ravel(), by_inputs[:, :, c].ravel(), len(seen) + 1)[:-1] for c in range(INPUTS)], axis=1).astype(np.float32)
+                    tables.update(_moves(*batch, got, kept, back))
+        inputs, values = valued()
     order, place = ranked(values)
     top = values[order[place == 0]]
     scale = logistic_fit(top[:, None], labels, _prior_weights(labels, prior), ridge=0.01)
-    return {"network": weights, "evidence": Evidence.of(counted[0] + counted[1]).tables, "scale": scale}
+    tables.numbers["toxic"] += log_odds(every, documents)
+    return {"network": weights, "tables": tables.numbers, "scale": scale}
 
 
 def without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -279,14 +345,15 @@ def _prior_weights(labels: np.ndarray, prior: float | None) -> np.ndarray:
 
 def score_texts(model: dict, texts: list[str]) -> np.ndarray:
     """The probability of each whole text, over all its windows."""
-    evidence, weights, out = Evidence(model["evidence"]), model["network"], np.empty(len(texts))
+    weights, out = model["network"], np.empty(len(texts))
     first = chars = 0
     for i, text in enumerate(texts):
         chars += len(text)
         if chars >= _SLICE_CHARS or i + 1 == len(texts):
-            some = texts[first : i + 1]
-            x, m, counts = windows_of(*evidence.inputs(some))
-            logits = _logits(weights, x, m)
+            of_text, own, blanks, grams = word_buckets(texts[first : i + 1])
+            inputs = word_inputs(model["tables"], own, blanks, grams)[0]
+            words, mask, counts = window_words(of_text)
+            logits = np.concatenate([_logits(weights, _placed(words[:, j : j + _SLICE_WINDOWS], inputs), mask[:, j : j + _SLICE_WINDOWS]) for j in range(0, len(mask[0]), _SLICE_WINDOWS)])
             top = np.maximum.reduceat(logits, np.concatenate(([0], np.cumsum(counts)[:-1])))
             slope, constant = model["scale"]
             out[first : i + 1] = sigmoid(np.clip(slope * top.astype(np.float64) + constant, -500, 500))
@@ -311,13 +378,12 @@ def scored(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFr
 
     def run(parts):
         for part in parts:
-            for at in range(0, len(part), 512):
-                pdf = part.iloc[at : at + 512]
-                score = score_texts(sent.value, list(pdf["text"]))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
+            for some in slices(part):
+                score = score_texts(sent.value, some["text"])
+                yield {"doc_id": some["doc_id"], "held_out": some["held_out"], "score": score, "predicted": (score >= threshold).astype(np.int32)}
 
     columns = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return columns.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_columns(columns, run, {"doc_id": pa.int64(), "held_out": pa.bool_(), "score": pa.float64(), "predicted": pa.int32()})
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
