@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of_docs, shingle_hashes
+from .common import batches_of_docs, map_columns, shingle_hashes, slices
 from .neardup import link_components
 
-SIZE, WORDS = 96, 5
+SIZE, WORDS, ROWS = 96, 5, 4
 _LEAST = -(1 << 63)
 
 
@@ -63,13 +65,22 @@ def fingerprints(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     def run(parts):
         for part in parts:
-            for at in range(0, len(part), 512):
-                pdf = part.iloc[at : at + 512]
-                texts = list(pdf["text"])
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_chars": [len(t) for t in texts], "fingerprint": [fingerprint_text(s) for s in signatures_of(texts, size)]})
+            for some in slices(part):
+                yield {"doc_id": some["doc_id"], "n_chars": [len(t) for t in some["text"]], "fingerprint": [fingerprint_text(s) for s in signatures_of(some["text"], size)]}
 
     columns = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return columns.mapInPandas(run, "doc_id long, n_chars long, fingerprint string")
+    return map_columns(columns, run, {"doc_id": pa.int64(), "n_chars": pa.int64(), "fingerprint": pa.string()})
+
+
+def shared_bands(one: np.ndarray, other: np.ndarray, rows: int = ROWS) -> int:
+    """How many bands of ``rows`` coordinates are equal in both signatures."""
+    return int((one == other)[: len(one) // rows * rows].reshape(-1, rows).all(axis=1).sum())
+
+
+def jaccard(one: np.ndarray, other: np.ndarray) -> float:
+    """The Jaccard index of two sorted arrays of distinct values; two empty ones have nothing in common."""
+    union = len(np.union1d(one, other))
+    return (len(one) + len(other) - union) / union if union else 0.0
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -77,7 +88,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     The signature's bands are joined in Spark and the pairs verified on full shingle sets; see ``link_components``.
     """
-    return link_components(docs, universal_signatures, bands=32, rows=4, width=WORDS, numerator=80, denominator=100)
+    return link_components(docs, universal_signatures, bands=32, rows=ROWS, width=WORDS, numerator=80, denominator=100)
 
 
 def edited(text: str, following: str) -> str:
@@ -86,12 +97,18 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _bucket(bounds: list[int]):
-    limits = np.array(bounds, np.int64)
+def _bucket(bounds: list[tuple[int, int]]):
+    """The number of bounds (key, hash) at or before a row's key and hash."""
+    keys, hashes = np.array([k for k, _ in bounds], np.int64), np.array([h for _, h in bounds], np.int64)
 
     @F.pandas_udf(T.IntegerType())
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(limits, ids.to_numpy(np.int64), "right").astype(np.int32))
+    def place(key: pd.Series, h: pd.Series) -> pd.Series:
+        key, h = key.to_numpy(np.int64), h.to_numpy(np.int64)
+        low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+        for at in np.unique(low[high > low]):  # the few keys that are bounds
+            rows = np.flatnonzero((low == at) & (high > low))
+            low[rows] = at + np.searchsorted(hashes[at : high[rows[0]]], h[rows], "right")
+        return pd.Series(low.astype(np.int32))
 
     return place
 
@@ -99,58 +116,66 @@ def _bucket(bounds: list[int]):
 def with_next(docs: DataFrame) -> DataFrame:
     """(bucket, doc_id, text, last): rows to read in order, so that each row's next one in its bucket is the next document.
 
-    Documents are dealt by ranges of doc_id, at bounds taken from its quantiles; each bucket is closed by a
-    copy of the next bucket's first document, marked ``last``. What reaches the driver is two ids for each bucket.
-    Null ids come first; rows that repeat an id are ordered by text.
+    Documents are dealt by ranges of doc_id, at bounds taken from its quantiles; an id that several quantiles fall on, null
+    among them, is dealt to as many buckets by a hash of the text. Each bucket is closed by a copy of the next
+    bucket's first document, marked ``last``. What reaches the driver is two places for each bucket.
+    Null ids come first; rows that repeat an id are ordered by a hash of the text.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
-    rows = docs.select(key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"), F.xxhash64(text).alias("h"), text.alias("text"))
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    place = _bucket(sorted(set(cuts)))
-    firsts = rows.select("key").withColumn("bucket", place("key")).groupBy("bucket").agg(F.min("key").alias("key")).collect()
-    firsts = sorted((r["bucket"], r["key"]) for r in firsts)
-    closing = spark.createDataFrame([(key, firsts[i - 1][0]) for i, (_, key) in enumerate(firsts)], "key long, bucket int")
-    heads = rows.join(F.broadcast(closing), "key").groupBy("key", "bucket").agg(F.min("text").alias("text"))
-    body = rows.select(place("key").alias("bucket"), "key", "text", F.lit(False).alias("last"))
-    every = body.unionByName(heads.withColumn("last", F.lit(True)))
-    return every.repartitionById(n, "bucket").sortWithinPartitions("bucket", "last", "key", "text")
+    bounds = [(key, _LEAST + i * ((1 << 64) // times)) for key, times in sorted(Counter(cuts).items()) for i in range(times)]
+    place = _bucket(bounds)
+    # A null and the least number share a key; the null comes first.
+    firsts = rows.select("key", F.col("doc_id").isNotNull().alias("stated"), "h").withColumn("bucket", place("key", "h")).groupBy("bucket").agg(F.min(F.struct("key", "h", "stated")).alias("f")).collect()
+    firsts = sorted((r["bucket"], *r["f"]) for r in firsts)
+    closing = spark.createDataFrame([(key, h, stated, firsts[i - 1][0]) for i, (_, key, h, stated) in enumerate(firsts)], "key long, h long, stated boolean, bucket int")
+    heads = rows.withColumn("stated", F.col("doc_id").isNotNull()).join(F.broadcast(closing), ["key", "h", "stated"]).groupBy("bucket").agg(F.min("text").alias("text"))
+    body = rows.select(place("key", "h").alias("bucket"), "key", "h", "doc_id", "text", F.lit(False).alias("last"))
+    nothing = F.lit(None).cast("long")
+    every = body.unionByName(heads.select("bucket", nothing.alias("key"), nothing.alias("h"), nothing.alias("doc_id"), "text", F.lit(True).alias("last")))
+    return every.repartitionById(n, "bucket").sortWithinPartitions("bucket", "last", "key", "h", "doc_id", "text")
 
 
 def compare_with_edits(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """For each row its fingerprint, that of its edited text, and their likeness to it and to the next document's.
+    """For each row its fingerprint, that of its edited text, and how like they are to it and to the next document's.
 
     The edited text has the last floor(n/2) code points replaced by the first as many of the next document
-    in ascending doc_id, the first following the last; a single document follows itself.
+    in ascending doc_id, the first following the last; a single document follows itself. ``near_`` columns estimate the Jaccard
+    index by the fingerprints; ``bands_`` columns count equal bands of the signatures, and where there is one,
+    ``jaccard_`` columns hold the exact index of the full shingle sets, else null.
     """
-
-    def emit(queue):
-        texts = [q[1] for q in queue]
-        changed = [edited(q[1], q[2]) for q in queue]
-        own, other, after = (signatures_of(x, size) for x in (texts, changed, [q[2] for q in queue]))
-        return pd.DataFrame({
-            "doc_id": pd.array([None if q[0] == _LEAST else q[0] for q in queue], "Int64"),
-            "n_chars": [len(t) for t in texts],
-            "edited_sha256": [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in changed],
-            "fingerprint": [fingerprint_text(s) for s in own],
-            "edited_fingerprint": [fingerprint_text(s) for s in other],
-            "near_edited": [likeness(a, b) for a, b in zip(own, other)],
-            "near_next": [likeness(a, b) for a, b in zip(own, after)],
-        })
+    fields = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(),
+              "bands_edited": pa.int32(), "jaccard_edited": pa.float64(), "bands_next": pa.int32(), "jaccard_next": pa.float64()}
+
+    def emit(rows):
+        """Results of all rows (doc_id, text) but the last, which only follows."""
+        texts = [t for _, t in rows]
+        changed = [edited(a, b) for a, b in zip(texts, texts[1:])]
+        sets, other_sets = ([shingle_hashes(t, WORDS) for t in x] for x in (texts, changed))
+        own, other = universal_signatures(sets, size), universal_signatures(other_sets, size)
+        own_text = [fingerprint_text(s) for s in own[:-1]]
+        out = {"doc_id": [i for i, _ in rows[:-1]], "n_chars": [len(t) for t in texts[:-1]], "edited_sha256": [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in changed],
+               "fingerprint": own_text, "edited_fingerprint": [fingerprint_text(s) for s in other]}
+        for name, against, against_sets in (("edited", other, other_sets), ("next", own[1:], sets[1:])):
+            bands = [shared_bands(a, b) if len(x) and len(y) else 0 for a, b, x, y in zip(own, against, sets, against_sets)]
+            out[f"near_{name}"] = [likeness(a, b) for a, b in zip(own, against)]
+            out[f"bands_{name}"] = bands
+            out[f"jaccard_{name}"] = [jaccard(x, y) if n else None for x, y, n in zip(sets, against_sets, bands)]
+        return out
 
     def run(parts):
-        before, queue, chars = None, [], 0
+        queue, chars, now = [], 0, None
         for part in parts:
-            for bucket, key, text, last in zip(part["bucket"], part["key"], part["text"], part["last"]):
-                if before is not None and before[0] == bucket:
-                    queue.append((before[1], before[2], text))
-                    chars += len(before[2])
-                    if len(queue) >= 256 or chars >= 1 << 21:
-                        yield emit(queue)
-                        queue, chars = [], 0
-                before = None if last else (bucket, key, text)
-        if queue:
-            yield emit(queue)
-
-    return with_next(docs).mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            for bucket, doc_id, text, last in zip(part["bucket"], part["doc_id"], part["text"], part["last"]):
+                if bucket != now:
+                    queue, chars, now = [], 0, bucket
+                queue.append((doc_id, text))
+                chars += len(text)
+                if len(queue) > 1 and (last or len(queue) > 256 or chars >= 1 << 21):
+                    yield emit(queue)
+                    queue, chars = queue[-1:], len(text)
+
+    return map_columns(with_next(docs).select("bucket", "doc_id", "text", "last"), run, fields)
