@@ -32,9 +32,7 @@ def coder():
 
 @pytest.fixture(scope="module")
 def plain_words():
-    out = Tokenizer.from_file(WORDS)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(WORDS)
 
 
 def test_pattern_is_the_vocabularys():
@@ -88,8 +86,7 @@ def test_bpe_query_on_a_table(spark, plain_bpe):
 def test_words_equal_the_whole_text(text):
     coder = packing.words(WORDS)
     assert coder.by_word
-    plain = Tokenizer.from_file(WORDS)if not hasattr(test_words_equal_the_whole_text, "p") else test_words_equal_the_whole_text.p
-    plain.encode_special_tokens = True
+    plain = Tokenizer.from_file(WORDS) if not hasattr(test_words_equal_the_whole_text, "p") else test_words_equal_the_whole_text.p
     test_words_equal_the_whole_text.p = plain
     assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
@@ -122,6 +119,31 @@ def test_packing_a_table(spark, plain_words):
     assert n <= 1.02 * tokens / 2048 + 2
 
 
+def test_open_bins_are_bounded(spark):
+    """In the query's own run all bins are open at times, the fullest closes, and that costs little space."""
+    rows = queries.op3_best_fit_packing(spark, "/root/testdata/sf0.1").select("sequence_id", "length", "closed").collect()
+    assert max(r.closed for r in rows) > 100
+    assert len({r.sequence_id for r in rows}) <= 1.02 * sum(r.length for r in rows) / packing.CAPACITY
+
+
+def test_pieces_of_one_id_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_PER_TASK", 50)
+    rows = packing.packed(spark.createDataFrame([(None if i % 2 else 7, 0, 0, 100 + i % 9, 1) for i in range(200)], "doc_id long, piece int, start long, length long, ids_crc32 long")).collect()
+    by_task = {}
+    for r in rows:
+        by_task[r.sequence_id >> 40] = by_task.get(r.sequence_id >> 40, 0) + 1
+    assert len(rows) == 200 and len(by_task) == 4 and max(by_task.values()) <= 60
+
+
+def test_known_chunks_are_bounded():
+    from vellum.llm.common import Known
+
+    known = Known(most_bytes=10_000, most_chars=8)
+    for i in range(1000):
+        known.learn({f"c{i}": b"1234", "a long chunk that never comes back": b"12"})
+    assert 20 < len(known) < 60 and all(len(c) <= 8 for c in known)
+
+
 def test_packing_odd_rows(spark, plain_words):
     texts = {i: t for i, t in ODD if i != 4}
     rows = packing.pack_documents(docs(spark, ODD, extra=True), WORDS).collect()
@@ -153,6 +175,38 @@ def test_open_bins_are_best_fit(lengths, most):
             plain.append((number, best - x))
 
 
+def plain_shingles(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_signatures(texts):
+    """The least of each permutation over the hashes of a text's shingles, one number at a time."""
+    from vellum.llm.common import shingle_hashes
+
+    factors, offsets = (x.tolist() for x in fingerprints._multipliers(96))
+    out = []
+    for text in texts:
+        members = shingle_hashes(text).tolist()
+        assert len(members) == len(plain_shingles(text))
+        out.append([min(((a * m + b) % (1 << 64)) >> 32 for m in members) if members else 0xFFFFFFFF for a, b in zip(factors, offsets)])
+    return np.array(out)
+
+
+def test_next_of_hot_ids(spark):
+    """Ids that many rows share, null among them, are dealt to several buckets, and every row still has its next."""
+    rows = [(None if i % 3 else i % 2, f"text {i} " * 3) for i in range(300)]
+    table = docs(spark, rows)
+    assert table.sparkSession is spark
+    sizes = [r["count"] for r in fingerprints.with_next(table).where("NOT last").groupBy("bucket").count().collect()]
+    got = fingerprints.compare_with_edits(table).collect()
+    assert len(got) == 300 and len(sizes) >= 3 and max(sizes) < 200
+    # Each text's first half is followed by the beginning of another's: the edits are those of one cycle over all rows.
+    halves = {hashlib.sha256(fingerprints.edited(a, b).encode()).hexdigest(): (a, b) for _, a in rows for _, b in rows}
+    follows = dict(halves[r.edited_sha256] for r in got)
+    assert len(follows) == 300 == len(set(follows.values()))
+
+
 def test_fingerprints(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
     got = {r.doc_id: r for r in queries.op8_document_fingerprints(spark, SF).collect()}
@@ -162,9 +216,13 @@ def test_fingerprints(spark):
         g, after = got[r.doc_id], rows[(i + 1) % len(rows)].text
         changed = fingerprints.edited(r.text, after)
         assert g.n_chars == len(r.text) and g.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
-        a, b, c = fingerprints.signatures_of([r.text, changed, after])
+        a, b, c = plain_signatures([r.text, changed, after])
         assert g.fingerprint == fingerprints.fingerprint_text(a) and g.edited_fingerprint == fingerprints.fingerprint_text(b)
-        assert (g.near_edited, g.near_next) == (fingerprints.likeness(a, b), fingerprints.likeness(a, c))
+        x, y, z = (plain_shingles(t) for t in (r.text, changed, after))
+        for near, bands, index, other, others in ((g.near_edited, g.bands_edited, g.jaccard_edited, b, y), (g.near_next, g.bands_next, g.jaccard_next, c, z)):
+            assert near == np.mean([p & 0xFFFF == q & 0xFFFF for p, q in zip(a.tolist(), other.tolist())])
+            assert bands == (sum(a[k : k + 4].tolist() == other[k : k + 4].tolist() for k in range(0, 96, 4)) if x and others else 0)
+            assert index == (len(x & others) / len(x | others) if bands else None)
         assert by_text.setdefault(r.text, g.fingerprint) == g.fingerprint
     long = [g for g in got.values() if g.n_chars > 400]
     assert np.mean([g.near_edited for g in long]) > 0.2 > 0.05 > np.median([g.near_next for g in long])
@@ -212,9 +270,9 @@ def test_base_spans(parts):
 
 
 def test_secret_scan(spark):
-    live, shared = "Zq8Rt2Lw9Xc4Vb7Nm1Kp", "Ab3De5Gh7Jk9Mn1Pq3St"
+    live, shared, copied = "Zq8Rt2Lw9Xc4Vb7Nm1Kp", "Ab3De5Gh7Jk9Mn1Pq3St", "Qw3Er5Ty7Ui9Op1As3Df"
     rows = [(1, f"see bearer {live} and again {live}", "en", "a"), (2, f"bearer {shared}", "en", "a"), (3, f"bearer {shared}", "en", "b"), (3, f"bearer {shared}", "en", "b"),
-            (4, 'é password = "hunter22" AKIA' + "A1" * 9 + " " + "0a" * 13, "en", "c"), (5, None), (6, ""), (7, "plain words")]
+            (4, 'é password = "hunter22" AKIA' + "A1" * 9 + " " + "0a" * 13, "en", "c"), (5, None), (6, ""), (7, "plain words"), *((20 + i, f"id {copied}", "en", "d") for i in range(4)), (30, "long " + "Ab1" * 70, "en", "e")]
     got = sorted(tuple(r) for r in secrets.secret_scan(docs(spark, rows, extra=True)).collect())
     assert len(got) == len(rows)
     by = {r[0]: r for r in got}
@@ -222,6 +280,9 @@ def test_secret_scan(spark):
     assert by[2][5] == by[3][5] == "" and by[2][7] == 1
     assert by[4][1:4] == (1, 1, 1) and by[4][5].startswith("assign:2:22,access:") and ",hex:" in by[4][5]
     assert by[5][1:] == by[6][1:] == by[7][1:]
+    assert all(by[20 + i][5] == "" and by[20 + i][7] == 1 for i in range(4))  # one owner, but four places
+    assert by[30][5] == ""  # few bits: three letters over and over
+    assert secrets.secret_scan(docs(spark, [(1, "x " + live * 9, "en", "a")])).first().spans == f"random:2:{2 + 20 * 9}"
     clean = {r.doc_id: r for r in secrets.redacted(docs(spark, rows)).collect()}
     assert clean[1].text == "see [secret] and again [secret]" and clean[1].n_chars == len(clean[1].text)
     assert clean[2].text == f"bearer {shared}" and "hunter" not in clean[4].text and clean[5].text is None
@@ -229,6 +290,51 @@ def test_secret_scan(spark):
     assert secrets.secret_scan(docs(spark, ODD, extra=True)).count() == len(ODD) == secrets.redacted(docs(spark, ODD)).count()
 
 
+def plain_weak(text, base):
+    """The weak kinds as the README words them, each match held against all earlier spans."""
+    run = "[A-Za-z0-9+/_-]"
+    found = []
+    for kind, matches in (
+        ("bearer", [(m.start(), m.end(), m[1]) for m in re.finditer(r"[Bb]earer\x20+([A-Za-z0-9._~+/-]{16,}=*)", text)]),
+        ("urlauth", [(m.start(1), m.end(), m[2]) for m in re.finditer(r"(?<![a-z0-9+])[0-9+]*([a-z][a-z0-9+]+://[^\s/:@]+:([^\s/:@]{4,})@)", text)]),
+        ("random", [(m.start(), m.end(), m[1]) for m in re.finditer(rf"(?<!{run})({run}{{20,}}={{0,2}})", text) if re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1])]),
+    ):
+        for s, e, v in matches:
+            counts = [v.count(c) / len(v) for c in set(v)]
+            if -sum(p * np.log2(p) for p in counts) >= 3 and not any(x < e and s < y for x, _, y in [*base, *found]):
+                found.append((s, secrets.KINDS.index(kind), e))
+    return found
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["Bearer ", "bearer  ", "https://", "bob:", "hunter2XyZ@", "Zq8Rt2Lw9Xc4Vb7Nm1Kp", "Ab3De5Gh7Jk9Mn1Pq3St", "token=", "AKIA", "=", "==", " ", "\n", "é", "word", "0a1b2c3d4e5f60718293a4b5"]), max_size=12))
+def test_weak_spans(parts):
+    text = "".join(parts)
+    base = secrets.base_spans(text)
+    assert sorted(x[:3] for x in secrets.weak_spans(text, base)) == sorted(plain_weak(text, [x[:3] for x in base]))
+
+
+def test_spans_take_time_in_proportion():
+    import time
+
+    random = np.random.default_rng(1)
+    tokens = ["".join(random.choice(list("abcdefghijkABCDEFGHIJK0123456789"), 24)) for _ in range(2000)]
+    text = " ".join(tokens * 20)
+    began = time.process_time()
+    found = secrets.weak_spans(text, secrets.base_spans(text))
+    assert len(text) >= 1_000_000 - 1 and len(found) > 39_000 and time.process_time() - began < 6  # about one second here
+
+
+def test_ownership(spark):
+    """Distinct owners and repositories of every value, against a plain count."""
+    random = np.random.default_rng(2)
+    values = [f"Zq8Rt2Lw9Xc4Vb7Nm{i}Kp" for i in range(10, 16)]
+    rows = [(int(random.integers(40)), " ".join(random.choice(values, 2)), "en", f"s{random.integers(3)}") for _ in range(120)]
+    got = secrets.ownership(secrets.candidates(docs(spark, rows)).where("found IS NOT NULL"))
+    want = {hashlib.blake2b(v.encode(), digest_size=16).digest(): (len({i for i, t, _, _ in rows if v in t}), len({s for _, t, _, s in rows if v in t}), sum(t.count(v) for _, t, _, _ in rows)) for v in values}
+    assert {bytes(r.value): (r.repos, r.owners, r.uses) for r in got.collect()} == want
+
+
 def test_secret_query(spark):
     folder = "/root/testdata/sf0.01"  # the least table with secrets
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
