@@ -1,6 +1,6 @@
 """Corpus preparation in five stages; each takes (spark, docs, sf_dir) and works on all that its predecessor kept.
 
-Language ID drops documents without words and those whose mixture names no language; the quality classifier drops
+Language ID drops documents without words; the quality classifier drops
 those it takes for junk; of near duplicates the least id stays; secrets are masked; the rest is packed.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import language, neardup, packing, quality, secrets
-from vellum.llm.common import labelled_sample, table, written
+from vellum.llm.common import labelled_sample, marked, skew_join, table, written
 from vellum.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,9 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The texts stay where they were read. Without a training row nothing can be told and nothing goes.
     """
     docs = docs.select(*COLUMNS)
-    try:
-        model = language.fit(docs)
-    except ValueError:
+    model = language.fit(docs)
+    if not model.languages:
         return docs
     named = docs.withColumn("_lang", language.predicted(spark, model)("text")).where(F.col("_lang") != language.UNDETERMINED)
     return named.withColumn("lang", F.coalesce("lang", "_lang")).select(*COLUMNS)
@@ -44,18 +43,23 @@ def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the least id stays; rows without an id go.
+    """Of each group of near duplicates the row with the least id stays, or one without an id where none has one.
 
     Groups are made of texts, not of ids: rows that repeat an id with other texts are judged one by one, and those that
-    repeat both come down to one.
+    repeat both come down to one. Rows without a word have no duplicates. Only texts that may go shuffle.
     """
-    docs = docs.select(*COLUMNS).where("doc_id IS NOT NULL").withColumn("_row", F.xxhash64("doc_id", "text"))
-    groups = neardup.minhash_near_dedup(docs.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    own = docs.groupBy("_row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    least = groups.join(own, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row", "n")).alias("least"))
-    kept = written(least.select("least._row", "least.n"), "kept")
-    out = docs.join(kept.select("_row"), "_row", "left_semi")
-    return (out.dropDuplicates(["_row"]) if kept.where("n > 1").take(1) else out).select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    row = ["doc_id", "place"]
+    groups = neardup.linked_rows(docs, by_id=False).where("cid IS NOT NULL").groupBy("cid", *row).agg(F.count("*").alias("n"))
+    best = groups.groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), *row)).alias("best"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("place") == F.col("best.place"))
+    judged = skew_join(groups, best, ["cid"]).select(*row, "n", stays.alias("stays"))
+    touched = written(judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_id"), F.col("place").alias("_place"), "stays"), "judged")
+
+    every = marked(docs.withColumn("_place", F.xxhash64("text")), touched.select("_place"), "_place")
+    known = every.where("_maybe").join(touched.hint("merge").withColumnRenamed("_place", "_at"), (F.col("_place") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    once = known.where("stays").dropDuplicates(["doc_id", "_place"])
+    return every.where("NOT _maybe").select(*COLUMNS).unionByName(known.where("stays IS NULL").select(*COLUMNS)).unionByName(once.select(*COLUMNS))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
