@@ -206,7 +206,7 @@ def _pass_links(classes: DataFrame, kind: str, passes: range, window: int, thres
     return _windowed(full, _ROW | {"raw": pa.binary()}, window, n, prepared, linked, joined, {"a": pa.int64(), "b": pa.int64()}, "windows").distinct()
 
 
-def _in_blocks(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+def _in_blocks(rows: DataFrame, least: int) -> DataFrame:
     """``rows`` (with n, the size of their group) dealt to pairs of blocks (i, j) of their group; ``block`` is their own."""
     size = F.greatest(F.lit(least), F.least(F.lit(MOST_BLOCK), F.ceil(F.col("n") / 16)))
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / size).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
@@ -214,6 +214,26 @@ def _in_blocks(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     return rows.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k"))
 
 
+def _each_pair(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """``run`` of the rows of each pair of blocks (i, j) of each group, the pairs of a group dealt to the tasks in turn."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    task = F.pmod(F.xxhash64(*keys) + F.col("i").cast("long") * F.col("blocks") + F.col("j"), F.lit(n)).cast("int")
+
+    def walk(parts):
+        held = None
+        for part in parts:
+            part = part if held is None else pd.concat([held, part], ignore_index=True)
+            group = (part[[*keys, "i", "j"]] != part[[*keys, "i", "j"]].shift()).any(axis=1).cumsum()
+            last = part.index[group == group.iloc[-1]][0] if len(part) else 0
+            for _, own in part.iloc[:last].groupby(group.iloc[:last]):
+                yield run(own)
+            held = part.iloc[last:]
+        if held is not None and len(held):
+            yield run(held)
+
+    return rows.withColumn("_task", task).repartitionById(n, "_task").sortWithinPartitions(*keys, "i", "j").mapInPandas(walk, schema)
+
+
 def _run_links(threshold: float, kind: str):
     """A forest of the links between the components that meet in one pair of blocks of a run."""
 
@@ -309,14 +329,14 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     torn = written(runs.where((F.col("n") > window + 1) & (F.col("lo") != F.col("hi"))).select("head", "prefix", "n"), "runs")
     if torn.take(1):
         rest = _coded(rooted, kind, range(passes), {"cid": pa.int64(), "root": pa.int64()}).select("head", prefix, "cid", "root").join(torn, ["head", "prefix"]).join(classes.select("cid", "raw"), "cid")
-        crossing = _in_blocks(rest, ["head", "prefix"], 4 * LEAST_BLOCK).groupBy("head", "prefix", "i", "j").applyInPandas(_run_links(threshold, kind), "a long, b long")
+        crossing = _each_pair(_in_blocks(rest, 4 * LEAST_BLOCK), ["head", "prefix"], _run_links(threshold, kind), "a long, b long")
         roots = written(components(links.unionByName(crossing)), "roots")
 
     sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
     member = skew_join(roots, sizes, ["root"]).withColumnRenamed("node", "cid").join(classes.select("cid", "copies", "raw"), "cid")
     # A component may hold vectors of several lengths where an id repeats; those of one length are compared.
-    member = _in_blocks(member.withColumn("dims", F.octet_length("raw")), ["root"], LEAST_BLOCK)
-    counted = member.groupBy("root", "dims", "i", "j").applyInPandas(_block_links(threshold, kind), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
+    member = _in_blocks(member.withColumn("dims", F.octet_length("raw")), LEAST_BLOCK)
+    counted = _each_pair(member, ["root", "dims"], _block_links(threshold, kind), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
 
     named = classes.select("key", "cid", "rep", "copies").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("least"))
