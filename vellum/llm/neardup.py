@@ -132,33 +132,34 @@ def _verified(pairs: DataFrame, members: DataFrame, numerator: int, denominator:
     return two.select("a", "b", "x", "y").mapInPandas(alike, "a long, b long")
 
 
-def _crossing(pdf: pd.DataFrame):
-    """For each member of block i in turn, the places of those of block j in another component that no lower band's task takes."""
-    bands = np.stack(pdf["bands"].to_list())
+def _crossing(pdf: pd.DataFrame, least: float):
+    """For each member of block i in turn, the places of those of block j in another component whose sketches agree with it
+    in a share of ``least``, and whose pair no lower band's task takes."""
+    sketch, bands = np.stack([np.frombuffer(s, np.uint8) for s in pdf["sketch"]]), np.stack(pdf["bands"].to_list())
     cid, block = pdf["cid"].to_numpy(), pdf["block"].to_numpy()
     band = int(np.flatnonzero(bands[0] == pdf["bucket"].iloc[0])[0])
     left, right = pdf["i"].iloc[0], pdf["j"].iloc[0]
     rows, columns = np.flatnonzero(block == left), np.flatnonzero(block == right)
+    across, enough = sketch[columns], least * sketch.shape[1]
 
-    def others(r, root):
-        found = columns[(root[columns] != root[r]) & ((cid[columns] > cid[r]) if left == right else True)]
-        return found[~(bands[found, :band] == bands[r, :band]).any(axis=1)]
+    def near(r, root):
+        agree = (across == sketch[r]).sum(axis=1) >= enough
+        found = columns[agree & (root[columns] != root[r]) & ((cid[columns] > cid[r]) if left == right else True)]
+        return found[~(bands[found, :band] == bands[r, :band]).any(axis=1)] if len(found) else found
 
-    return rows, others
+    return rows, near
 
 
 def _likely_members(least: float):
-    """The members of one block pair of a bucket that have a partner in another component with a sketch that agrees."""
+    """The members of one block pair of a bucket that have a likely partner in another component."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sketch, root = np.stack([np.frombuffer(s, np.uint8) for s in pdf["sketch"]]), pdf["root"].to_numpy()
-        rows, others = _crossing(pdf)
-        hit = np.zeros(len(pdf), bool)
+        root, hit = pdf["root"].to_numpy(), np.zeros(len(pdf), bool)
+        rows, near = _crossing(pdf, least)
         for r in rows:
-            near = others(r, root)
-            near = near[(sketch[near] == sketch[r]).mean(axis=1) >= least]
-            hit[near] = True
-            hit[r] |= len(near) > 0
+            found = near(r, root)
+            hit[found] = True
+            hit[r] |= len(found) > 0
         return pdf.loc[hit, ["bucket", "i", "j", "block", "cid", "root", "bands", "sketch"]]
 
     return run
@@ -172,12 +173,10 @@ def _cross_links(least: float, numerator: int, denominator: int):
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sketch = np.stack([np.frombuffer(s, np.uint8) for s in pdf["sketch"]])
         sets, cid, root, found = [np.frombuffer(m, np.uint64) for m in pdf["members"]], pdf["cid"].to_numpy(), pdf["root"].to_numpy().copy(), []
-        rows, others = _crossing(pdf)
+        rows, near = _crossing(pdf, least)
         for r in rows:
-            near = others(r, root)
-            for c in near[(sketch[near] == sketch[r]).mean(axis=1) >= least]:
+            for c in near(r, root):
                 if root[c] != root[r] and _alike(sets[r], sets[c], numerator, denominator):
                     found.append((cid[r], cid[c]))
                     root[root == root[c]] = root[r]
@@ -232,8 +231,10 @@ def linked_rows(docs: DataFrame, sign=circulant_signatures, bands: int = BANDS,
     threshold = numerator / denominator
     least = threshold - 5 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
     schema = "bucket long, i int, j int, block int, cid long, root long, bands array<bigint>, sketch binary"
-    likely = written(rest.groupBy("bucket", "i", "j").applyInPandas(_likely_members(least), schema), "likely")
-    crossing = likely.join(members, "cid").groupBy("bucket", "i", "j").applyInPandas(_cross_links(least, numerator, denominator), "a long, b long")
+    # These tasks compute much on few bytes, so their number is stated and nothing puts them together.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    likely = written(rest.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_likely_members(least), schema), "likely")
+    crossing = likely.join(members, "cid").repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_cross_links(least, numerator, denominator), "a long, b long")
     crossing = written(crossing, "crossing")
     final = written(components(links.union(crossing)), "roots") if crossing.take(1) else roots
 
