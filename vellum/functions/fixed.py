@@ -16,11 +16,15 @@ LIST_MARKER = r"^(\s*)([-*+]|\d+[.)]) "
 
 # Passive voice.
 IRREGULAR_PARTICIPLES = (
-    "built chosen done drawn driven eaten fallen felt found given gone grown held hidden hit kept known laid led lent lost made meant "
-    "met paid put read run said seen sent set shown shut sold spoken spent stood taken taught thought told understood won worn written"
-).split()
+    "built", "chosen", "done", "drawn", "driven", "eaten", "fallen", "felt", "found", "given", "gone", "grown", "held", "hidden", "hit", "kept",
+    "known", "laid", "led", "lent", "lost", "made", "meant", "met", "paid", "put", "read", "run", "said", "seen", "sent", "set", "shown", "shut",
+    "sold", "spoken", "spent", "stood", "taken", "taught", "thought", "told", "understood", "won", "worn", "written",
+)
 PASSIVE = r"\b(is|are|was|were|be|been|being)\s+(\w+ed|" + "|".join(IRREGULAR_PARTICIPLES) + r")\b"
-STATIVE = [f"{verb} {word}" for word in ("based", "used", "required", "needed", "located", "designed", "expected", "supposed") for verb in ("is", "are")]
+STATIVE = [
+    "is based", "are based", "is used", "are used", "is required", "are required", "is needed", "are needed",
+    "is located", "are located", "is designed", "are designed", "is expected", "are expected", "is supposed", "are supposed",
+]
 
 # Words that a title may keep in lower case.
 SMALL_WORDS = ["a", "an", "the", "and", "but", "or", "for", "nor", "in", "on", "at", "to", "by", "of", "up", "is"]

@@ -25,22 +25,21 @@ def lines(content: Column) -> Column:
     return F.transform(line_array(content), lambda line, i: F.struct(i.alias("i"), line.alias("line")))
 
 
-def matches(line: Column, pattern: str) -> Column:
+def matches(line: Column, pattern: Column) -> Column:
     """array<struct<text, column>>: non-overlapping matches and their 1-based columns in code points.
 
     ``pattern`` is in Java's dialect and matches at least one character, so the pieces between matches tell where
-    they are. Lines without a match, most of them, pay for one search only.
+    they are, in one walk along the line. Meant for lines that are known to match.
     """
-    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-    between = F.split(line, pattern, -1)
+    found = F.regexp_extract_all(line, pattern, F.lit(0))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<text:string,column:int>>").alias("out"))
 
-    def placed(text, i):
-        before = F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda n, s: n + F.length(s))
-        earlier = F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda n, s: n + F.length(s))
-        return F.struct(text.alias("text"), (before + earlier + 1).alias("column"))
+    def placed(seen, piece):
+        column = seen["at"] + F.length(piece["between"])
+        return F.struct((column + F.length(piece["text"])).alias("at"), F.array_append(seen["out"], F.struct(piece["text"].alias("text"), column.alias("column"))).alias("out"))
 
-    none = F.array().cast("array<struct<text:string,column:int>>")
-    return F.when(line.rlike(pattern), F.transform(found, placed)).otherwise(none)
+    pieces = F.zip_with(found, F.slice(F.split(line, pattern, -1), F.lit(1), F.size(found)), lambda text, gap: F.struct(text.alias("text"), gap.alias("between")))
+    return F.aggregate(pieces, start, placed, lambda seen: seen["out"])
 
 
 def strip(text: Column) -> Column:

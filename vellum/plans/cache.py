@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import files
+from ..sources.scratch import written
 from .engine import COLUMNS, GovernanceEngine
 
-_VIOLATION = "struct<rule_id:string,message:string,severity:string,file:string,line:int,column:int,suggestion:string,context:string>"
+_FIELDS = [*COLUMNS, "check_no", "emit_no"]
+_VIOLATION = "struct<rule_id:string,message:string,severity:string,file:string,line:int,column:int,suggestion:string,context:string,check_no:int,emit_no:int>"
 _SCHEMA = f"file string, content_key string, violations array<{_VIOLATION}>"
 
 
@@ -25,12 +27,11 @@ def lint_cached(engine: GovernanceEngine, documents: DataFrame, path: str) -> Da
     """
     spark, ruleset = documents.sparkSession, engine.ruleset()
     known = spark.read.schema(_SCHEMA).parquet(path) if _exists(spark, path) else spark.createDataFrame([], _SCHEMA)
-    new = files.changed(documents.where("content IS NOT NULL").select("file", "content"), known, ruleset).persist()
-    found = engine.lint(new).select(*COLUMNS)
-    grouped = found.groupBy("file").agg(F.collect_list(F.struct(*COLUMNS)).alias("violations"))
+    new = written(files.changed(documents.where("content IS NOT NULL").select("file", "content"), known, ruleset), "changed")
+    found = engine.lint(new).select(*_FIELDS)
+    grouped = found.groupBy("file").agg(F.collect_list(F.struct(*_FIELDS)).alias("violations"))
     entries = new.select("file", "content_key").join(grouped, "file", "left").select("file", "content_key", F.coalesce("violations", F.array().cast(f"array<{_VIOLATION}>")).alias("violations"))
     entries.write.mode("append").parquet(path)
-    new.unpersist()
     wanted = documents.where("content IS NOT NULL").select("file", files.content_key(F.col("content"), ruleset).alias("content_key"))
     kept = spark.read.schema(_SCHEMA).parquet(path).dropDuplicates(["file", "content_key"])
     return kept.join(wanted.distinct(), ["file", "content_key"], "left_semi").select(F.inline("violations"))

@@ -6,17 +6,16 @@ assembled from the relational tables by the same rule in Spark and in SQL.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import CheckSettings, Settings
+from ..config import CheckSettings, Settings, select_checks
 from ..functions import fixed
 from ..functions.text import lines as line_structs
-from ..operators import assistant, graph, parse, reference_pages, rules
+from ..operators import assistant, graph, parse, reference_pages, report, rules
 from ..operators.suppress import drop_suppressed
 from ..sources import files
+from ..sources.scratch import written
 from . import engine
 
 QUERIES: dict = {}
@@ -101,7 +100,7 @@ def _pii(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         others = [n for n in fixed.PII if n != name]
         settings = _only("pii-detected", disabled_subtypes=others)
-        return rules.scan(document_lines(spark, sf_dir), {"pii-detected": rules.pii}, settings).selectExpr(*_SHOWN)
+        return rules.scan(document_lines(spark, sf_dir), ["pii-detected"], settings).selectExpr(*_SHOWN)
 
     return run
 
@@ -118,7 +117,7 @@ def pii_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data by table and kind: one scan of each table."""
     out = None
     for name, key, text in _TEXTS:
-        found = rules.scan(lines_of(table(spark, sf_dir, name), key, text), {"pii-detected": rules.pii}, Settings()).select(F.lit(name).alias("source"), "rule_id", "file")
+        found = rules.scan(lines_of(table(spark, sf_dir, name), key, text), ["pii-detected"], Settings()).select(F.lit(name).alias("source"), "rule_id", "file")
         out = found if out is None else out.unionByName(found)
     return out.groupBy("source", "rule_id").agg(F.count("*").alias("findings"), F.countDistinct("file").alias("rows_hit"))
 
@@ -144,7 +143,7 @@ def key_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pii_ssn", f"WITH {_KEY_LINES_SQL} {_pii_sql('ssn')}")
 def pii_ssn(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = _only("pii-detected", disabled_subtypes=["email", "phone-us", "credit-card"])
-    return rules.scan(key_lines(spark, sf_dir), {"pii-detected": rules.pii}, settings).selectExpr(*_SHOWN)
+    return rules.scan(key_lines(spark, sf_dir), ["pii-detected"], settings).selectExpr(*_SHOWN)
 
 
 _SECRET_SQL = "(?i)" + fixed.AWS_SECRET.replace("'", "''")
@@ -158,14 +157,14 @@ UNION ALL
 SELECT file, line_no, 'aws-key-exposed', 'Possible AWS secret access key detected.', 'error', NULL, {_REDACTED_SQL}
 FROM (SELECT file, line_no, line, unnest(regexp_extract_all(line, '{_SECRET_SQL}')) AS m FROM l)""")
 def aws_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scan(key_lines(spark, sf_dir), {"aws-key-exposed": rules.aws_keys}, Settings()).selectExpr(*_SHOWN)
+    return rules.scan(key_lines(spark, sf_dir), ["aws-key-exposed"], Settings()).selectExpr(*_SHOWN)
 
 
 @query("line_length", f"""WITH {_DOCUMENT_LINES}
 SELECT file, line_no, 'line-length' AS rule_id, concat('Line exceeds 120 characters (', len(line), ').') AS message, 'info' AS severity, CAST(121 AS BIGINT) AS col, CAST(NULL AS VARCHAR) AS context
 FROM l WHERE len(line) > 120""")
 def line_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scan(document_lines(spark, sf_dir), {"line-length": rules.line_length}, Settings()).selectExpr(*_SHOWN)
+    return rules.scan(document_lines(spark, sf_dir), ["line-length"], Settings()).selectExpr(*_SHOWN)
 
 
 # ---- prose --------------------------------------------------------------------------------------------
@@ -179,12 +178,12 @@ FROM ({matches_sql('(?i)' + fixed.PASSIVE, 'l', keep)})"""
 
 @query("passive_voice", _passive_sql("lower(ms[k]) NOT IN (" + ", ".join(f"'{s}'" for s in fixed.STATIVE) + ")"))
 def passive_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scan(document_lines(spark, sf_dir), {"passive-voice": rules.passive_voice}, Settings()).selectExpr(*_SHOWN)
+    return rules.scan(document_lines(spark, sf_dir), ["passive-voice"], Settings()).selectExpr(*_SHOWN)
 
 
 @query("passive_voice_with_statives", _passive_sql("TRUE"))
 def passive_voice_with_statives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scan(document_lines(spark, sf_dir), {"passive-voice": rules.passive_voice}, _only("passive-voice", allow_stative=False)).selectExpr(*_SHOWN)
+    return rules.scan(document_lines(spark, sf_dir), ["passive-voice"], _only("passive-voice", allow_stative=False)).selectExpr(*_SHOWN)
 
 
 def _terms_sql(terms: list[tuple], check: str) -> str:
@@ -199,7 +198,7 @@ _PRODUCT = [(p, w, "info", True) for p, w in fixed.PRODUCT_TERMS]
 
 @query("terminology", f"WITH {_DOCUMENT_LINES} {_terms_sql(_GENERAL, 'terminology')}")
 def terminology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scan(document_lines(spark, sf_dir), {"terminology": rules.terminology}, Settings()).selectExpr(*_SHOWN)
+    return rules.scan(document_lines(spark, sf_dir), ["terminology"], Settings()).selectExpr(*_SHOWN)
 
 
 _GENERAL_WORDS = ["blacklist", "the Whitelist.", "master  branch", "MASTER", "slave", "just easy", "Obviously", "etc. and", "etc.", "please", "simplytic", "hers", "no term"]
@@ -221,12 +220,12 @@ def _word_lines_sql(words: list[str]) -> str:
 
 @query("terminology_general", f"WITH {_word_lines_sql(_GENERAL_WORDS)} {_terms_sql(_GENERAL, 'terminology')}")
 def terminology_general(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scan(_word_lines(spark, sf_dir, _GENERAL_WORDS), {"terminology": rules.terminology}, Settings()).selectExpr(*_SHOWN)
+    return rules.scan(_word_lines(spark, sf_dir, _GENERAL_WORDS), ["terminology"], Settings()).selectExpr(*_SHOWN)
 
 
 @query("terminology_product", f"WITH {_word_lines_sql(_PRODUCT_WORDS)} {_terms_sql(_PRODUCT, 'docc-terminology')}")
 def terminology_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scan(_word_lines(spark, sf_dir, _PRODUCT_WORDS), {"docc-terminology": rules.product_terminology}, Settings()).selectExpr(*_SHOWN)
+    return rules.scan(_word_lines(spark, sf_dir, _PRODUCT_WORDS), ["docc-terminology"], Settings()).selectExpr(*_SHOWN)
 
 
 # ---- structure ------------------------------------------------------------------------------------------
@@ -238,9 +237,13 @@ _RANKED_SQL = """r AS (
 
 
 def ranked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items numbered within their order."""
+    """Line items numbered within their order.
+
+    The number of partitions is stated: what is made of an item costs far more than its bytes suggest, by which AQE would put tasks together.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag", "l_linestatus")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", F.row_number().over(order).alias("line_no"))
+    return table(spark, sf_dir, "lineitem").repartition(n, "l_orderkey").select(F.col("l_orderkey").alias("file"), "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", F.row_number().over(order).alias("line_no"))
 
 
 @query("heading_hierarchy", f"""WITH {_RANKED_SQL}, h AS (SELECT file, line_no, CAST(1 + l_partkey % 4 AS INT) AS level FROM r),
@@ -349,6 +352,12 @@ def _part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(key(k).alias("key"), F.to_json(page).alias("json"))
 
 
+def _just(name: str) -> Settings:
+    """Settings under which one check runs, with the severity that it has by default."""
+    weighs = "warning" if name == "docc-broken-crossref" else rules.DEFAULT_SEVERITY[name]
+    return Settings(checks={n: CheckSettings(n == name, weighs) for n, *_ in rules.CHECKS})
+
+
 _KEY_SQL = "'doc://com.apple.parts/documentation/Parts/p'"
 _PAGES_SQL = f"""p AS (SELECT *, concat({_KEY_SQL}, p_partkey) AS file, [{", ".join(f"'{n}'" for n in _PLATFORM_NAMES)}][p_partkey % {len(_PLATFORM_NAMES)} + 1] AS name,
   concat(1 + p_size % 20, '.1') AS since, CAST(1 + p_size % 20 AS DOUBLE) AS major,
@@ -357,8 +366,7 @@ _PAGES_SQL = f"""p AS (SELECT *, concat({_KEY_SQL}, p_partkey) AS file, [{", ".j
 
 @query("missing_description", f"WITH {_PAGES_SQL} SELECT file, 'docc-missing-description' AS rule_id, CAST(1 AS INT) AS line, 'warning' AS severity FROM p WHERE p_partkey % 6 = 0")
 def missing_description(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = engine.ReferenceEngine(_part_pages(spark, sf_dir)).lint()
-    return found.where("rule_id = 'docc-missing-description'").select("file", "rule_id", "line", "severity")
+    return engine.ReferenceEngine(_part_pages(spark, sf_dir), _just("docc-missing-description")).lint().select("file", "rule_id", "line", "severity")
 
 
 @query("stale_platforms", f"""WITH {_PAGES_SQL}
@@ -366,15 +374,13 @@ SELECT file, concat('Platform ''', name, ''' is marked as deprecated.') AS messa
 UNION ALL SELECT file, concat('Platform ''', name, ' ', since, ''' is marked beta but the OS version has shipped.'), 'warning' FROM p WHERE p_partkey % 4 = 0 AND major <= now
 UNION ALL SELECT file, concat('Platform ''', name, ''' introduced at ', since, ', ', CAST(now - major AS INT), ' major versions behind current (', CAST(now AS INT), '.0).'), 'info' FROM p WHERE now - major >= 5""")
 def stale_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = engine.ReferenceEngine(_part_pages(spark, sf_dir)).lint()
-    return found.where("rule_id = 'docc-stale-platform'").select("file", "message", "severity")
+    return engine.ReferenceEngine(_part_pages(spark, sf_dir), _just("docc-stale-platform")).lint().select("file", "message", "severity")
 
 
 @query("broken_crossref", f"""WITH {_PAGES_SQL}, e AS (SELECT file, p_partkey * 2 AS n FROM p UNION ALL SELECT file, p_partkey * 2 + 1 FROM p)
 SELECT file, concat('Broken cross-reference: ', {_KEY_SQL}, n) AS message, concat('Verify the symbol path exists: /parts/', n) AS suggestion FROM e WHERE n NOT IN (SELECT p_partkey FROM part)""")
 def broken_crossref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = engine.ReferenceEngine(_part_pages(spark, sf_dir)).lint()
-    return found.where("rule_id = 'docc-broken-crossref'").select("file", "message", "suggestion")
+    return engine.ReferenceEngine(_part_pages(spark, sf_dir), _just("docc-broken-crossref")).lint().select("file", "message", "suggestion")
 
 
 @query("page_metadata", f"""WITH {_PAGES_SQL}
@@ -416,18 +422,14 @@ def crawl_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("inline_flatten", """SELECT event_id, concat(event_type, ' ', user_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE concat(' ', event_type) END, ' see ', event_id) AS text FROM events""")
 def inline_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested inline content made of each event: text, code, a bold run that may be empty, an image and a reference."""
-
-    def one(kind, n, u, i):
-        bold = [] if i % 3 == 0 else [{"type": "emphasis", "inlineContent": [{"type": "text", "text": kind}]}]
-        return [{"type": "text", "text": kind}, {"type": "codeVoice", "code": str(u)}, {"type": "strong", "inlineContent": bold}, {"type": "image", "identifier": "x"},
-                {"type": "newTerm", "inlineContent": [{"type": "text", "text": "see"}, {"type": "reference", "identifier": str(i)}]}]
-
-    def flat(parts):
-        for part in parts:
-            part["text"] = [reference_pages.flattened(json.loads(json.dumps(one(k, 0, u, i)))) for k, u, i in zip(part["event_type"], part["user_id"], part["event_id"])]
-            yield part[["event_id", "text"]]
-
-    return table(spark, sf_dir, "events").select("event_id", "event_type", "user_id").mapInPandas(flat, "event_id long, text string")
+    said = lambda x: F.concat(F.lit('{"type": "text", "text": '), F.to_json(F.struct(x.cast("string").alias("t"))).substr(F.lit(6), F.length(F.to_json(F.struct(x.cast("string").alias("t")))) - 6), F.lit("}"))
+    kind, user, event = F.col("event_type"), F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    bold = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit('{"type": "emphasis", "inlineContent": ['), said(kind), F.lit("]}")))
+    content = F.concat(
+        F.lit("["), said(kind), F.lit(', {"type": "codeVoice", "code": "'), user, F.lit('"}, {"type": "strong", "inlineContent": ['), bold, F.lit(']}, {"type": "image", "identifier": "x"}, '),
+        F.lit('{"type": "newTerm", "inlineContent": ['), said(F.lit("see")), F.lit(', {"type": "reference", "identifier": "'), event, F.lit('"}]}]'),
+    )
+    return table(spark, sf_dir, "events").select("event_id", reference_pages.flattened_column(content).alias("text"))
 
 
 @query("identifier_url", f"""WITH i AS (SELECT url AS given, concat(CASE page_id % 4 WHEN 0 THEN '{fixed.EXTERNAL_PREFIX}' WHEN 1 THEN 'doc://com.apple.Parts/documentation/' WHEN 2 THEN 'doc://com.apple.parts/documentation/Parts/' ELSE 'https://x/' END, 'P', page_id) AS id, page_id FROM pages)
@@ -539,18 +541,66 @@ def severity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT f.file, CAST(0 AS BIGINT) AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS infos, FALSE AS has_errors
 FROM (SELECT DISTINCT file FROM b) f LEFT JOIN v USING (file) GROUP BY f.file""")
 def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = order_documents(spark, sf_dir)
+    docs = written(order_documents(spark, sf_dir), "orders")
     return engine.file_summary(engine.GovernanceEngine().lint(docs), docs)
 
 
 @query("corpus_report", f"""WITH {_ORDER_SQL}
 SELECT (SELECT count(DISTINCT file) FROM b) AS files_scanned, count(*) AS total_violations, CAST(0 AS BIGINT) AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS infos FROM v""")
 def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = order_documents(spark, sf_dir)
+    docs = written(order_documents(spark, sf_dir), "orders")
     return engine.corpus_summary(engine.GovernanceEngine().lint(docs), docs)
 
 
 @query("gate", f"WITH {_ORDER_SQL} SELECT 'error' AS fail_on, count(*) FILTER (WHERE severity = 'error') > 0 AS failed FROM v UNION ALL SELECT 'warning', count(*) FILTER (WHERE severity IN ('error', 'warning')) > 0 FROM v")
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = engine.GovernanceEngine().lint(order_documents(spark, sf_dir))
-    return engine.gate(found, "error").select(F.lit("error").alias("fail_on"), "failed").union(engine.gate(found, "warning").select(F.lit("warning"), "failed"))
+    return engine.gates(engine.GovernanceEngine().lint(order_documents(spark, sf_dir)), ["error", "warning"])
+
+
+@query("check_selection", f"WITH {_ORDER_SQL} SELECT file, rule_id, severity, line FROM v WHERE rule_id IN ('passive-voice', 'code-block-language', 'list-consistency')")
+def check_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named checks stay, other configured ones go, and those that nothing mentions run on."""
+    settings = Settings(checks={name: CheckSettings(severity=rules.DEFAULT_SEVERITY[name]) for name in rules.ORDER if name != "list-consistency"})
+    settings = select_checks(settings, ["passive-voice", "code-block-language"])
+    found = engine.GovernanceEngine(settings).lint(order_documents(spark, sf_dir))
+    return found.select("file", "rule_id", "severity", F.col("line").cast("long").alias("line"))
+
+
+@query("json_report", f"""WITH {_ORDER_SQL}, k AS (SELECT file, count(*) FILTER (WHERE rule_id IN ('passive-voice', 'code-block-language')) AS n, array_to_string(list_sort(list(concat(lpad(CAST(line AS VARCHAR), 6, '0'), ' ', rule_id)) FILTER (WHERE rule_id IN ('passive-voice', 'code-block-language'))), ',') AS places FROM v GROUP BY file)
+SELECT f.file, coalesce(n, 0) AS n, coalesce(places, '') AS places, 'line-length' AS skipped FROM (SELECT DISTINCT file FROM b) f LEFT JOIN k USING (file)""")
+def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's report as JSON, and what a reader finds in it: violations in order of line and rule, clean files, skipped checks."""
+    docs = written(order_documents(spark, sf_dir), "orders")
+    kept = ("passive-voice", "code-block-language")
+    found = engine.GovernanceEngine().lint(docs).where(F.col("rule_id").isin(*kept))
+    rows = report.json_rows(report.results(found, docs, ["line-length"]))
+    read = F.from_json("json", "file string, violations array<struct<rule_id:string,line:int>>, skipped_checks array<string>")
+    place = lambda v: F.concat(F.lpad(v["line"].cast("string"), 6, "0"), F.lit(" "), v["rule_id"])
+    each = rows.select(read.alias("r")).select("r.*")
+    return each.select("file", F.size("violations").cast("long").alias("n"), F.array_join(F.transform("violations", place), ",").alias("places"), F.array_join("skipped_checks", ",").alias("skipped"))
+
+
+@query("front_matter", """SELECT concat('p', p_partkey, '.md') AS file, 'heading' AS kind, concat('Part ', p_partkey) AS text, CASE WHEN p_partkey % 3 = 0 THEN 1 WHEN p_partkey % 3 = 1 THEN 5 ELSE 2 END AS line FROM part
+UNION ALL SELECT concat('p', p_partkey, '.md'), 'paragraph', p_name, CASE WHEN p_partkey % 3 = 0 THEN 3 WHEN p_partkey % 3 = 1 THEN 7 ELSE 4 END FROM part""")
+def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of documents without front matter, with some, and with an empty one; its lines count and hold no prose."""
+    k = F.col("p_partkey")
+    head = F.when(k % 3 == 1, F.concat(F.lit("---\ntitle: "), F.col("p_type"), F.lit("\nsize: 1\n---\n"))).when(k % 3 == 2, "\n").otherwise("")
+    content = F.concat(head, F.lit("# Part "), k.cast("string"), F.lit("\n\n"), F.col("p_name"), F.lit("\n"))
+    docs = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k.cast("string"), F.lit(".md")).alias("file"), content.alias("content"))
+    return engine.GovernanceEngine().views(docs)["segments"].select("file", F.col("segment_type").alias("kind"), "text", F.col("line_start").alias("line"))
+
+
+@query("wiki_lint", """WITH w AS (SELECT concat('c', c_custkey, '.wiki') AS file, c_custkey AS k FROM customer)
+SELECT file, 'heading-hierarchy' AS rule_id, CAST(3 AS BIGINT) AS line FROM w WHERE k % 2 = 0
+UNION ALL SELECT file, 'code-block-language', 5 FROM w WHERE k % 3 = 0
+UNION ALL SELECT file, 'passive-voice', 3 FROM w WHERE k % 5 = 0""")
+def wiki_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over assembled wiki pages: headings, code tags, and prose, which counts from the line of the heading above it."""
+    k = F.col("c_custkey")
+    content = F.concat(
+        F.lit("= Customer =\n\n"), F.when(k % 2 == 0, "=== Orders ===").otherwise("== Orders =="), F.lit("\n"), F.when(k % 5 == 0, "The order was shipped.").otherwise("We ship the order."),
+        F.lit("\n"), F.when(k % 3 == 0, "<syntaxhighlight>x</syntaxhighlight>").otherwise('<syntaxhighlight lang="sql">x</syntaxhighlight>'), F.lit("\n"),
+    )
+    docs = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), k.cast("string"), F.lit(".wiki")).alias("file"), content.alias("content"))
+    return engine.GovernanceEngine().lint(docs).select("file", "rule_id", F.col("line").cast("long").alias("line"))

@@ -18,6 +18,7 @@ from ..functions.text import LINE_END, dialect
 from ..functions.text import lines as line_structs
 from ..operators import assistant, graph, parse, reference_pages, rules
 from ..operators.suppress import drop_suppressed
+from ..sources.scratch import written
 
 _log = logging.getLogger(__name__)
 COLUMNS = ["rule_id", "message", "severity", "file", "line", "column", "suggestion", "context"]
@@ -34,7 +35,10 @@ def _rank(severity) -> Column:
 
 
 class Registry:
-    """Ordered rules by id; registering an id again replaces it in place. A rule maps views and settings to findings."""
+    """Ordered rules by id; registering an id again replaces it in place, that of a built-in rule included.
+
+    A rule maps views and settings to findings (file, line_no and the fields of ``rules.FINDING``, emit_no).
+    """
 
     def __init__(self):
         self.rules: dict[str, Callable[[dict[str, DataFrame], Settings], DataFrame]] = {}
@@ -64,45 +68,46 @@ class GovernanceEngine:
         self.settings, self.registry, self._client = settings or Settings(), registry or Registry(), assistant_client
         self.failed: list[str] = []
 
+    def documents(self, documents: DataFrame) -> DataFrame:
+        """(file, content, format, doc): the documents that can be linted, parsed."""
+        return parse.parsed(documents.select("file", "content")).where("format IS NOT NULL AND content IS NOT NULL AND doc.error IS NULL")
+
     def views(self, documents: DataFrame) -> dict[str, DataFrame]:
-        """documents (file, content) parsed once and cached, and the relations that rules work on."""
-        docs = parse.parsed(documents.select("file", "content")).where("format IS NOT NULL AND content IS NOT NULL AND doc.error IS NULL").persist()
-        raw = _raw_lines(docs)
+        """The relations that registered rules work on; each parses the documents for itself."""
+        docs = self.documents(documents)
         segments = docs.select("file", F.posexplode("doc.segments").alias("ord", "s")).select("file", "ord", "s.*")
         in_segments = segments.select("file", "ord", "line_start", F.explode(line_structs(F.col("text"))).alias("l")).select("file", "ord", (F.col("line_start") + F.col("l.i")).alias("line_no"), "l.line")
         headings = docs.select("file", F.posexplode("doc.headings").alias("ord", "h")).select("file", "ord", "h.*")
         blocks = docs.select("file", F.posexplode("doc.code_blocks").alias("ord", "b")).select("file", "ord", "b.language", "b.line_no")
-        # What most documents lack is looked for in whole documents before their lines are taken apart.
-        listed, marked = docs.where(F.col("content").rlike(dialect("(?:^|" + LINE_END + ")" + fixed.LIST_MARKER[1:]))), docs.where(F.col("content").contains("<!--"))
-        return {"documents": docs, "lines": raw, "list_lines": _raw_lines(listed), "directive_lines": _raw_lines(marked), "segments": segments, "segment_lines": in_segments, "headings": headings, "code_blocks": blocks}
+        return {"documents": docs, "lines": _raw_lines(docs), "segments": segments, "segment_lines": in_segments, "headings": headings, "code_blocks": blocks}
 
     def lint(self, documents: DataFrame) -> DataFrame:
         """The violations of ``documents`` (file, content), without the suppressed ones, in no order; see ``ordered``.
 
-        One projection holds all line rules and one all segment rules. Files of unknown format or that can't be
-        parsed have no violations; ``skipped`` lists them.
+        Documents are parsed once, and one projection holds all rules that see one place. What most documents lack (list
+        markers, directives) is looked for in whole contents before their lines are taken apart. Files of unknown
+        format or that can't be parsed have no violations; ``skipped`` lists them.
         """
-        return self.lint_views(self.views(documents))
-
-    def lint_views(self, views: dict[str, DataFrame]) -> DataFrame:
-        settings, on = self.settings, self.settings.enabled
-        found = [rules.scan(views["lines"], rules.LINE_RULES, settings)]
-        found.append(rules.scan(views["segment_lines"], rules.SEGMENT_RULES, settings))
-        for name, rule, view in (("heading-hierarchy", rules.heading_hierarchy, "headings"), ("heading-casing", rules.heading_casing, "headings"),
-                                 ("code-block-language", rules.code_block_language, "code_blocks"), ("list-consistency", rules.list_consistency, "list_lines")):
-            if on(name):
-                found.append(rule(views[view], settings))
+        settings, own = self.settings, self.registry.rules
+        on = lambda name: settings.enabled(name) and name not in own
+        docs = self.documents(documents)
+        found = [rules.scan_places(docs.select("file", F.explode(rules.places(F.col("content"), F.col("doc"), settings)).alias("p")), settings, set(own))]
+        known = documents.where(parse.format_of(F.col("file")).isNotNull() & F.col("content").isNotNull())
+        if on("list-consistency"):
+            listed = known.where(F.col("content").rlike(dialect("(?:^|" + LINE_END + ")" + fixed.LIST_MARKER[1:])))
+            found.append(rules.list_consistency(_raw_lines(listed), settings))
+        views = self.views(documents) if own or self._client else {}
         if self._client and settings.llm.enabled and on("terminology") and settings.option("terminology", "llm_enabled", False):
             found.append(assistant.reviewed(views["segments"], settings, self._client))
-        for name, rule in self.registry.rules.items():
-            if on(name):
+        for name, rule in own.items():
+            if settings.enabled(name):
                 try:
                     found.append(rule(views, settings))
                 except Exception:  # one rule that can't be planned leaves the others
                     _log.exception("rule %s failed", name)
                     self.failed.append(name)
         every = reduce(DataFrame.unionByName, found)
-        return _shaped(drop_suppressed(every, views["directive_lines"]))
+        return _shaped(drop_suppressed(every, _raw_lines(known.where(F.col("content").contains("<!--")))))
 
     def skipped_checks(self) -> list[str]:
         names = [name for name, *_ in rules.CHECKS] + list(self.registry.rules)
@@ -130,7 +135,7 @@ class ReferenceEngine:
             from ..config import CheckSettings
 
             self.settings.checks["docc-broken-crossref"] = CheckSettings()
-        self.pages = reference_pages.parsed_pages(corpus).persist()
+        self.pages = written(reference_pages.parsed_pages(corpus), "pages")
 
     def crawl(self, root: str, max_depth: int = 2) -> DataFrame:
         """(node, depth) of the pages reached through topic sections from the page with key ``root``."""
@@ -186,7 +191,14 @@ def corpus_summary(violations: DataFrame, files: DataFrame) -> DataFrame:
     return each.agg(F.count("*").alias("files_scanned"), total(F.col("errors") + F.col("warnings") + F.col("infos")).alias("total_violations"), *[total(c).alias(c) for c in ("errors", "warnings", "infos")])
 
 
+def gates(violations: DataFrame, thresholds: list[str]) -> DataFrame:
+    """(fail_on, failed) for each threshold, in one pass: whether a violation is at least as severe; an unknown threshold means error."""
+    worst = violations.agg(F.min(_rank("severity")).alias("worst"))
+    ranks = F.array(*[F.struct(F.lit(t).alias("fail_on"), F.lit(severity_rank(t) or 0).alias("rank")) for t in thresholds])
+    each = worst.select("worst", F.explode(ranks).alias("t"))
+    return each.select("t.fail_on", F.coalesce(F.col("worst") <= F.col("t.rank"), F.lit(False)).alias("failed"))
+
+
 def gate(violations: DataFrame, fail_on: str = "error") -> DataFrame:
-    """One row, failed: whether a violation is at least as severe as ``fail_on``; an unknown one means error."""
-    rank = severity_rank(fail_on) or 0
-    return violations.agg(F.coalesce(F.bool_or(_rank("severity") <= rank), F.lit(False)).alias("failed"))
+    """One row, failed: see ``gates``."""
+    return gates(violations, [fail_on]).select("failed")

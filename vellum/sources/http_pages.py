@@ -62,3 +62,32 @@ def fetch(spark, urls: list[str], spacing: float = SPACING):
     """(url, status, json) of each url, in turn."""
     spark.dataSource.register(ReferencePages)
     return spark.read.format("reference_pages").option("urls", json.dumps(urls)).option("spacing", str(spacing)).load()
+
+
+def fetch_corpus(spark, framework: str, symbol: str = "", max_depth: int = 2, fetcher=fetch):
+    """(key, json) of a framework's page, or of one symbol's, and of the pages that topic sections lead to within ``max_depth``.
+
+    ``fetcher`` maps the session and a list of urls to (url, status, json); one level after the other is fetched. The
+    addresses of a level pass the driver, which is no bound where four pages come in a second. Pages that aren't there are
+    left out, and so are links to other sites. References are listed with a page of their own if they were fetched.
+    """
+    from pyspark.sql import functions as F
+
+    from ..functions import fixed
+    from ..operators import reference_pages
+    from .scratch import written
+
+    path = f"{framework}/{symbol}".rstrip("/").lower()
+    wanted, seen, corpus = {f"{fixed.PAGE_URL}/{path}.json": reference_pages.framework_key(framework, symbol)}, set(), None
+    # The root's own links are followed whatever the depth, as a crawl of a stored corpus does.
+    for _ in range(1 if symbol else 1 + max(1, max_depth)):
+        if not wanted:
+            break
+        seen |= set(wanted)
+        names = spark.createDataFrame(list(wanted.items()), "url string, key string")
+        level = written(fetcher(spark, sorted(wanted)).where("json IS NOT NULL").join(names, "url").select("key", "json"), "fetched")
+        corpus = level if corpus is None else corpus.union(level)
+        children = reference_pages.parsed_pages(level).select(F.explode("page.children").alias("key")).distinct()
+        rows = children.select("key", reference_pages.identifier_url(F.col("key")).alias("url")).where("url IS NOT NULL").collect()
+        wanted = {r["url"]: r["key"] for r in sorted(rows) if r["url"] not in seen}
+    return corpus

@@ -16,8 +16,6 @@ def lint_stream(documents: DataFrame, path: str, checkpoint: str, engine: Govern
     own = engine or GovernanceEngine()
 
     def run(batch: DataFrame, number: int) -> None:
-        views = own.views(batch)
-        own.lint_views(views).select(*COLUMNS).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        views["documents"].unpersist()
+        own.lint(batch).select(*COLUMNS).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return documents.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
