@@ -20,13 +20,13 @@ from .neural import Adam, logistic_fit, sigmoid
 #: Training documents of each class at most, about.
 FIT_ROWS = {0: 1600, 1: 1000}
 WINDOW, STEP, MARGIN = 32, 24, 4
-GRAMS, BUCKET_BITS, SMOOTH = (4, 5, 6), 18, 6.0
+GRAMS, BUCKET_BITS, SMOOTH, DOUBT = (4, 5, 6), 18, 2.0, 1.5
 #: Free numbers of a word and of a short n-gram; what a word enters with; documents that must have a bucket for it to be learned.
 FREE = 2
 INPUTS, HIDDEN, ATTENTION = 4 + 2 * FREE, 8, 8
 SEEN = 3
 #: Rounds over the rows; small samples get as many as make about LEAST_STEPS steps.
-EPOCHS, LEAST_STEPS, BATCH, RATE, TABLE_RATE = 5, 60, 64, 0.01, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE, TABLE_RATE = 5, 60, 64, 0.01, 0.02
 THRESHOLD = 0.3
 _SLICE_CHARS, _SLICE_WINDOWS = 1 << 19, 4096
 _NONE = 1 << BUCKET_BITS  # the bucket of a place without an n-gram
@@ -81,9 +81,11 @@ def bucket_counts(rows: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_odds(counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
-    """Smoothed log odds of the buckets; 0 where there is no n-gram."""
+    """Smoothed log odds of the buckets, drawn towards 0 by DOUBT standard errors, so that rare ones say little; 0 where there is no n-gram."""
     share = documents / max(1, documents.sum())
-    odds = np.log((counts[1] + SMOOTH * share[1] + 1e-9) / (counts[0] + SMOOTH * share[0] + 1e-9)) - np.log((documents[1] + 1e-9) / (documents[0] + 1e-9))
+    toxic, clean = (counts[y] + SMOOTH * share[y] + 1e-9 for y in (1, 0))
+    odds = np.log(toxic / clean) - np.log((documents[1] + 1e-9) / (documents[0] + 1e-9))
+    odds = np.sign(odds) * np.maximum(0, np.abs(odds) - DOUBT * np.sqrt(1 / toxic + 1 / clean))
     odds[:, _NONE] = 0
     return (0.5 * np.clip(odds, -4, 4)).astype(np.float32)
 
