@@ -84,13 +84,20 @@ def marked(rows: DataFrame, keys: DataFrame, place: str, most_bits: int = 28) ->
 
 
 class Known(dict):
-    """Ids by chunk of text, with a bound on the memory they take; long chunks, which hardly come back, aren't kept."""
+    """Ids by chunk of text, with a bound on the memory they take; long chunks, which hardly come back, aren't kept.
+
+    What was learnt last is found in any case.
+    """
 
     def __init__(self, most_bytes: int = 96 << 20, most_chars: int = 48):
         super().__init__({"": b""})
-        self.room, self._most_chars = most_bytes, most_chars
+        self.room, self._most_chars, self._last = most_bytes, most_chars, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self._last[chunk]
 
     def learn(self, found: dict[str, bytes]) -> None:
+        self._last = found
         if self.room > 0:
             own = {c: ids for c, ids in found.items() if len(c) <= self._most_chars}
             self.update(own)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ class Words:
         probe = f"a b\n{_MARK} c1 {_MARK}d."
         return len(self._mark) > 0 and np.array_equal(self._ids([probe])[0], np.concatenate(self._ids(["a", "b", _MARK, "c1", _MARK, "d."])))
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _learn(self, words: list[str]) -> None:
         found, plain = {}, [w for w in words if _MARK not in w]
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
@@ -68,18 +69,16 @@ class Words:
         rest = [w for w in words if w not in found]
         found.update({w: i.tobytes() for w, i in zip(rest, self._ids(rest))} if rest else {})
         self._known.learn(found)
-        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         plain = [self.by_word and not any(x in t for x in self._special) for t in texts]
         whole = iter([i.tobytes() for i in self._ids([t for t, p in zip(texts, plain) if not p])] if not all(plain) else ())
-        known = self._known
         cut = [t.replace("\n", " ").split(" ") if p else None for t, p in zip(texts, plain)]
-        new = {w for words in cut if words for w in words if w not in known}
-        learnt = self._learn(list(new)) if new else {}
-        look = known.__getitem__ if new <= known.keys() else lambda w: known[w] if w in known else learnt[w]
-        return [next(whole) if words is None else b"".join(map(look, words)) for words in cut]
+        new = set(filterfalse(self._known.__contains__, chain.from_iterable(filter(None, cut))))
+        if new:
+            self._learn(list(new))
+        return [next(whole) if words is None else b"".join(map(self._known.__getitem__, words)) for words in cut]
 
 
 @cache
