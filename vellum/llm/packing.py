@@ -39,7 +39,7 @@ class Words:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._known = Known()
+        self._known = Known(256 << 20)
         self._mark = self._ids([_MARK])[0]
         self.by_word = self._parts_words()
 
