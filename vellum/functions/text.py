@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,18 @@ def dialect(pattern: str, ignore_case: bool = False) -> str:
     return f"(?{'i' if ignore_case else ''}U){pattern}"
 
 
+#: What RE2 reads under (?i) where Java's engine reads something else: ASCII words and blanks, and two letters that fold to ASCII ones.
+_ASCII = {r"\w": r"[\w\x{17F}\x{212A}]", r"\s": r"[\t\n\f\r ]", "s": r"[s\x{17F}]", "k": r"[k\x{212A}]"}
+
+
+def ascii_dialect(pattern: str) -> str:
+    """``pattern`` between word boundaries for Java's engine, with the matches that RE2 (DuckDB's engine) finds without case.
+
+    Meant for lower-case letters, groups, \\w and \\s; a match must begin and end with an ASCII letter.
+    """
+    return r"(?i)(?<!\w)" + re.sub(r"\\.|[sk]", lambda m: _ASCII.get(m[0], m[0]), pattern) + r"(?!\w)"
+
+
 def line_array(content: Column) -> Column:
     """Lines without their ends; a last line end opens no further line. Null content has no lines."""
     parts = F.split(content, LINE_END, -1)
@@ -47,6 +61,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
 
 
+def trim(text: Column) -> Column:
+    """Without leading and trailing separators of words, as SQL's trim in DuckDB; tabs stay."""
+    return F.regexp_replace(text, "^\\p{Zs}+|\\p{Zs}+\\z", "")
+
+
 def luhn(text: Column) -> Column:
     """Whether the 13 to 19 ASCII digits of ``text`` pass the Luhn test."""
     digits = F.regexp_replace(text, "[^0-9]", "")
