@@ -22,3 +22,13 @@ def test_passive_voice_is_its_sqls(spark, tmp_path, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = Counter(con.execute(__spark_entry__.oracle_sql()[name]).fetchall())
     assert want and Counter(map(tuple, __spark_entry__.queries()[name](spark, str(tmp_path)).collect())) == want
+
+
+def test_identifiers_are_resolved_without_a_broadcast_of_pages(spark, tmp_path):
+    parts = spark.range(300).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name", "'PROMO' AS p_type", "CAST(id % 50 AS INT) AS p_size")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = __spark_entry__.queries()["resolve_identifiers"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    assert Counter(map(tuple, found.collect())) == Counter(con.execute(__spark_entry__.oracle_sql()["resolve_identifiers"]).fetchall())
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
