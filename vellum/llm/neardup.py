@@ -105,7 +105,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield {"set_key": [hashlib.blake2b(x, digest_size=16).digest() for x in raw], "members": raw}
 
     hit = marked(docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("place")), wanted.select("place"), "place").where("_maybe").select("text")
-    found = written(map_columns(hit, sets, {"set_key": pa.binary(), "members": pa.binary()}), "sets")
+    found = map_columns(hit, sets, {"set_key": pa.binary(), "members": pa.binary()})
     return found.groupBy("set_key").agg(F.first("members").alias("members")).join(wanted.select("cid", "set_key").hint("merge"), "set_key").select("cid", "members")
 
 
@@ -233,7 +233,7 @@ def linked_rows(docs: DataFrame, sign=circulant_signatures, bands: int = BANDS,
     schema = "bucket long, i int, j int, block int, cid long, root long, bands array<bigint>, sketch binary"
     # These tasks compute much on few bytes, so their number is stated and nothing puts them together.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    likely = written(rest.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_likely_members(least), schema), "likely")
+    likely = rest.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_likely_members(least), schema)
     crossing = likely.join(members, "cid").repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_cross_links(least, numerator, denominator), "a long, b long")
     crossing = written(crossing, "crossing")
     final = written(components(links.union(crossing)), "roots") if crossing.take(1) else roots
