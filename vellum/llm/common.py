@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from ..sources.scratch import clear_scratch, scratch_root, written  # noqa: F401
 TRAIN_FOLDS, HELD_OUT_FOLD = 4, 2
 #: Longer texts aren't learned from, so that what the driver collects is bounded.
 FIT_CHARS = 1 << 18
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -36,16 +39,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_columns(rows: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterator[dict]], fields: dict[str, pa.DataType]) -> DataFrame:
+def bounded_batches(spark: SparkSession) -> None:
+    """Python workers get batches of about ``BATCH_BYTES``, unless the session states a size of its own.
+
+    By Spark's default a batch grows to 64 MB, which the JVM holds outside its heap and the worker as Arrow and as values.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
+def map_columns(rows: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterator[dict]], fields: dict[str, pa.DataType], keeps_words: bool = False) -> DataFrame:
     """``rows`` through ``run``, which turns batches {column: values} into batches {column: values or array}.
 
     Values come and go through Arrow, so integers beyond 2**53 stay exact beside nulls, which pandas would make floats.
+    Unless it ``keeps_words``, words that earlier tasks kept in the worker are dropped first.
     """
     from pyspark.sql.pandas.types import from_arrow_schema
 
+    bounded_batches(rows.sparkSession)
     schema = pa.schema(list(fields.items()))
 
     def arrow(batches):
+        if not keeps_words:
+            forget_words()
         columns = ({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)} for batch in batches)
         for out in run(columns):
             yield pa.RecordBatch.from_arrays([pa.array(out[name], kind) for name, kind in fields.items()], schema=schema)
@@ -86,12 +102,19 @@ def marked(rows: DataFrame, keys: DataFrame, place: str, most_bits: int = 28) ->
 class Known(dict):
     """Ids by chunk of text, with a bound on the memory they take; long chunks, which hardly come back, aren't kept.
 
-    What was learnt last is found in any case.
+    What was learnt last is found in any case. ``forget`` empties the table.
     """
 
     def __init__(self, most_bytes: int = 96 << 20, most_chars: int = 48):
-        super().__init__({"": b""})
-        self.room, self._most_chars, self._last = most_bytes, most_chars, {}
+        super().__init__()
+        self._most_bytes, self._most_chars = most_bytes, most_chars
+        self.forget()
+        _tables.append(weakref.ref(self))
+
+    def forget(self) -> None:
+        self.clear()
+        self[""] = b""
+        self.room, self._last = self._most_bytes, {}
 
     def __missing__(self, chunk: str) -> bytes:
         return self._last[chunk]
@@ -104,6 +127,17 @@ class Known(dict):
             self.room -= sum(map(len, own.values())) + sum(map(len, own)) * 4 + 200 * len(own)
 
 
+_tables: list[weakref.ref[Known]] = []
+
+
+def forget_words() -> None:
+    """Empties every ``Known`` of this process: a worker that goes on with other work has no use for them."""
+    for ref in _tables:
+        known = ref()
+        if known is not None and len(known) > 1:
+            known.forget()
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], most_chars: int = FIT_CHARS) -> list[tuple[str, int]]:
     """At most about ``per_class`` training texts of each label value and of up to ``most_chars`` characters, chosen by a hash of doc_id.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_columns, slices
+from .common import bounded_batches, forget_words, held_out, map_columns, slices
 
 #: Training documents for each language at most, about; the n-gram tables, the penalty and the rounds.
 FIT_DOCS, SIZES, BUCKETS, UNIT_WORDS = 400, (2, 3, 4), 1 << 16, 3
@@ -201,10 +201,12 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, most_languages: int = MOST_LA
 
 def predicted(spark, model: Model):
     """A column function: the predicted language of a text, for plans that go on with the row."""
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast((model.languages, model.tables))
 
     @F.pandas_udf("string")
     def name(texts: pd.Series) -> pd.Series:
+        forget_words()
         own, every, out = Model(*sent.value), ["" if t is None else t for t in texts], []
         for first, last in _slices(every):
             share, worded = own.infer(every[first:last])

@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 yield dict(zip(_PIECE, zip(*out)))
 
     columns = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return map_columns(columns, run, _PIECE)
+    return map_columns(columns, run, _PIECE, keeps_words=True)
 
 
 class OpenBins:
@@ -162,7 +162,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS)
             placed = [(*bins.put(x), bins.closed) for x in part["length"]]
             yield part | {"sequence_id": [(task << 40) + b for b, _, _ in placed], "offset": [o for _, o, _ in placed], "closed": [c for _, _, c in placed]}
 
-    return map_columns(ordered, run, _PIECE | {"sequence_id": pa.int64(), "offset": pa.int64(), "closed": pa.int64()})
+    return map_columns(ordered, run, _PIECE | {"sequence_id": pa.int64(), "offset": pa.int64(), "closed": pa.int64()}, keeps_words=True)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, map_columns, slices
+from .common import bounded_batches, forget_words, held_out, labelled_sample, map_columns, slices
 from .neural import Adam, logistic_fit, sigmoid
 
 #: Training documents of each class at most, about.
@@ -205,10 +205,12 @@ def scored(docs: DataFrame, weights: dict[str, np.ndarray], threshold: float = T
 
 def probability(spark, weights: dict[str, np.ndarray]):
     """A column function: the score of a text, for plans that go on with the row."""
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        forget_words()
         every = ["" if t is None else t for t in texts]
         return pd.Series(np.concatenate([score_texts(sent.value, every[i : i + 256]) for i in range(0, len(every), 256)] or [np.empty(0)]))
 
