@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_columns, scratch_root, skew_join, written
+from .common import map_columns, marked, scratch_root, skew_join, written
 
 SEGMENT_BYTES = 32 * 1024
 DEDUP_FROM = 1000
@@ -44,17 +44,23 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
-    rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    # One entry for each payload that repeats; the digests of single pages are dropped before the join.
-    each = rows.where(F.col("payload_bytes") >= dedup_from).groupBy("payload_digest", "page_id").agg(F.count("*").alias("n"))
-    carried = each.groupBy("payload_digest").agg(F.max("page_id").alias("carrier"), F.max_by("n", "page_id").alias("ties"), F.sum("n").alias("n")).where("n > 1")
-    joined = skew_join(rows, carried.select("payload_digest", "carrier", "ties"), ["payload_digest"], "left")
-    revisits = F.col("carrier").isNotNull() & (F.col("payload_bytes") >= dedup_from) & ~F.col("page_id").eqNullSafe(F.col("carrier"))
-    return joined.select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest",
-        F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("carrier")).alias("refers_to"),
+    long = F.octet_length("payload") >= dedup_from
+    rows = rows.withColumn("place", F.when(long, F.xxhash64("payload")))
+    # One entry for each payload that repeats. Only pages that may have such a payload shuffle, found by a hash of it.
+    each = rows.where(long).groupBy(F.sha1("payload").alias("payload_digest"), "page_id").agg(F.count("*").alias("n"), F.min("place").alias("place"))
+    carried = each.groupBy("payload_digest").agg(F.max("page_id").alias("carrier"), F.max_by("n", "page_id").alias("ties"), F.sum("n").alias("n"), F.min("place").alias("place")).where("n > 1")
+    carried = written(carried.select("payload_digest", "carrier", "ties", "place"), "carried")
+    every = marked(rows, carried.select("place"), "place")
+    told = every.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
+    joined = skew_join(told.where("_maybe"), carried.drop("place"), ["payload_digest"], "left")
+    revisits = F.col("carrier").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("carrier"))
+    columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest"]
+    repeated = joined.select(
+        *columns, F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("carrier")).alias("refers_to"),
         (F.col("ties") == 1).alias("referred"),
     )
+    single = told.where("NOT _maybe").select(*columns, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("boolean").alias("referred"))
+    return single.unionByName(repeated)
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -113,8 +119,8 @@ def records_of(page_id, url, payload: bytes, digest: str, record_type: str, refe
     return out
 
 
-def write_archives(marked: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write the rows of ``with_revisits`` as gzipped WARC files under ``path``.
+def write_archives(rows: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
+    """Write ``rows`` of ``with_revisits`` as gzipped WARC files under ``path``.
 
     A record holds at most ``segment_bytes`` of content and a file at most ``records_per_file`` records, which bounds
     what a reading task holds however long a page is. Spark's text writer makes one gzip member of a file.
@@ -131,7 +137,7 @@ def write_archives(marked: DataFrame, path: str, segment_bytes: int = SEGMENT_BY
                     records = []
             yield {"record": records}
 
-    columns = marked.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to", "referred")
+    columns = rows.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to", "referred")
     records = map_columns(columns, build, {"record": pa.binary()}).select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path, compression="gzip")
 
