@@ -217,7 +217,6 @@ def linked_rows(docs: DataFrame, sign=circulant_signatures, bands: int = BANDS,
         own = rows_of.join(several.where("sets > 1"), "doc_id").join(classes.select("set_key", "cid"), "set_key").select("doc_id", "cid").distinct()
         first = own.groupBy("doc_id").agg(F.min("cid").alias("first"))
         links = links.union(own.join(first, "doc_id").where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")))
-    links = written(links, "links")
     roots = written(components(links), "roots")
 
     # Buckets of three or more that still hold several components: the pairs that no star tested. Sketches go to
@@ -235,8 +234,8 @@ def linked_rows(docs: DataFrame, sign=circulant_signatures, bands: int = BANDS,
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     likely = rest.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_likely_members(least), schema)
     crossing = likely.join(members, "cid").repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_cross_links(least, numerator, denominator), "a long, b long")
-    crossing = written(crossing, "crossing")
-    final = written(components(links.union(crossing)), "roots") if crossing.take(1) else roots
+    crossing = written(crossing.distinct(), "crossing")  # few rows of many tasks, in few files
+    final = written(components(crossing.union(roots)), "roots") if crossing.take(1) else roots
 
     named = classes.select("set_key", "cid", "rep").join(final.withColumnRenamed("node", "cid"), "cid", "left").select("set_key", "rep", F.coalesce("root", "cid").alias("root"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("least"))
