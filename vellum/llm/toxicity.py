@@ -35,11 +35,10 @@ _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def word_buckets(texts: list[str]):
-    """(words of each text, bucket of each word, first place of each word and the end, buckets at each place by size).
+def word_bytes(texts: list[str]):
+    """(words of each text, bucket of each word, first place of each word and the end, byte at each place).
 
-    Words are runs of letters and digits, lower-cased; their n-grams are of bytes with a blank on either side. A place without
-    an n-gram has the bucket _NONE.
+    Words are runs of letters and digits, lower-cased, each with a blank before it.
     """
     lowered = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(lowered) + b"\n", np.uint8)
@@ -48,14 +47,19 @@ def word_buckets(texts: list[str]):
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     of_text = np.bincount(np.searchsorted(np.cumsum([len(t) + 1 for t in lowered]), starts, "right"), minlength=len(texts))
     blanks = np.concatenate(([0], np.cumsum(ends - starts + 1)))
-    if not len(starts):
-        return of_text, np.empty(0, np.int32), blanks, [np.empty(0, np.int32) for _ in GRAMS]
     own = (word_hashes(data, starts, ends) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
-    padded = np.full(blanks[-1] + max(GRAMS), 32, np.uint32)
+    letters = np.full(blanks[-1], 32, np.uint8)
     place = np.ones(blanks[-1], bool)
     place[blanks[:-1]] = False
-    padded[: blanks[-1]][place] = data[inside]
-    count, value, grams = int(blanks[-1]), padded[: blanks[-1]].copy(), []
+    letters[place] = data[inside]
+    return of_text, own, blanks, letters
+
+
+def gram_buckets(letters: np.ndarray, blanks: np.ndarray) -> list[np.ndarray]:
+    """Buckets at each place, by size, of the n-grams of words with a blank on either side; _NONE where no n-gram begins."""
+    padded = np.full(len(letters) + max(GRAMS), 32, np.uint32)
+    padded[: len(letters)] = letters
+    count, value, grams = len(letters), padded[: len(letters)].copy(), []
     for n in range(2, max(GRAMS) + 1):
         value *= np.uint32(0x01000193)
         value += padded[n - 1 : n - 1 + count]
@@ -66,7 +70,30 @@ def word_buckets(texts: list[str]):
                 buckets[np.maximum(blanks[1:] - j, blanks[:-1])] = _NONE
             buckets[blanks[:-1][np.diff(blanks) < n - 1]] = _NONE
             grams.append(buckets)
-    return of_text, own, blanks, grams
+    return grams
+
+
+def word_buckets(texts: list[str]):
+    """(words of each text, bucket of each word, first place of each word and the end, buckets at each place by size)."""
+    of_text, own, blanks, letters = word_bytes(texts)
+    return of_text, own, blanks, gram_buckets(letters, blanks)
+
+
+class Words:
+    """The words of all training texts, a byte for each letter; what the network reads is made of some words at a time."""
+
+    def __init__(self, texts: list[str]):
+        parts = [word_bytes(texts[at : at + 64]) for at in range(0, len(texts), 64)]
+        self.of_text, self._own, self._letters = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 3))
+        self._blanks = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))))
+        self._half = np.repeat((np.arange(len(texts)) % 2).astype(np.int8), self.of_text)
+
+    def take(self, numbers: np.ndarray):
+        """(bucket, first place and the end, buckets at each place by size) of these words, and the half that each is in."""
+        sizes = self._blanks[numbers + 1] - self._blanks[numbers]
+        here = np.concatenate(([0], np.cumsum(sizes)))
+        places = np.repeat(self._blanks[numbers] - here[:-1], sizes) + np.arange(here[-1])
+        return (self._own[numbers], here, gram_buckets(self._letters[places], here)), self._half[numbers]
 
 
 def bucket_counts(rows: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -270,13 +297,10 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, prior: float | None
     every, documents = counted[0][0] + counted[1][0], counted[0][1] + counted[1][1]
     tables = Tables((every.sum(axis=0) >= SEEN) & (np.arange(_NONE + 1) < _NONE))
 
-    parts = [word_buckets([t for t, _ in rows[at : at + 64]]) for at in range(0, len(rows), 64)]
-    of_text, own = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    grams = [np.concatenate([p[3][k] for p in parts]) for k in range(len(GRAMS))]
-    blanks = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))))
-    parts = None
-    words, mask, windows = window_words(of_text)
-    owner, half = np.repeat(np.arange(len(rows)), windows), np.repeat(np.arange(len(rows)) % 2, of_text)
+    counted = None
+    read = Words([t for t, _ in rows])
+    words, mask, windows = window_words(read.of_text)
+    owner = np.repeat(np.arange(len(rows)), windows)
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     adam = Adam(weights, RATE)
 
@@ -286,13 +310,21 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, prior: float | None
         first = np.concatenate(([0], np.cumsum(windows)[:-1]))
         return order, np.arange(len(order)) - first[owner[order]]
 
-    def valued():
-        inputs = word_inputs(tables.numbers, own, blanks, grams, base, half)[0]
-        return inputs, np.concatenate([_logits(weights, _placed(words[:, i : i + _SLICE_WINDOWS], inputs), mask[:, i : i + _SLICE_WINDOWS]) for i in range(0, len(owner), _SLICE_WINDOWS)])
-
-    inputs = word_inputs(tables.numbers, own, blanks, grams, base, half)[0]
-    toxic = np.append(inputs[:, 1:3].max(axis=1), 0) if len(own) else np.zeros(1)
-    values = toxic[words].max(axis=0) + np.append(inputs[:, 0], 0)[words].max(axis=0)
+    def taken(chosen):
+        """Of some windows: their words, what these are, the half of each, and the place among them of each window's words."""
+        w = words[:, chosen]
+        seen = distinct(w[w >= 0])
+        return (seen, *read.take(seen), np.where(w >= 0, np.searchsorted(seen, w), len(seen)))
+
+    def valued(score):
+        out = []
+        for i in range(0, len(owner), _SLICE_WINDOWS):
+            some = slice(i, i + _SLICE_WINDOWS)
+            _, batch, half, local = taken(some)
+            out.append(score(_placed(local, word_inputs(tables.numbers, *batch, base, half)[0]), mask[:, some]))
+        return np.concatenate(out)
+
+    values = valued(lambda x, _: x[:, :, 1:3].max(axis=2).max(axis=0) + x[:, :, 0].max(axis=0))
     for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // (4 * len(rows))))):
         order, place = ranked(values)
         used = order[(place == 0) | ((place == 1) & (labels[owner[order]] == 0))]
@@ -300,14 +332,9 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, prior: float | None
             random.shuffle(used)
             for at in range(0, len(used), BATCH):
                 chosen = used[at : at + BATCH]
-                w, m, y = words[:, chosen], mask[:, chosen], labels[owner[chosen]]
-                seen = distinct(w[w >= 0])
-                sizes = blanks[seen + 1] - blanks[seen]
-                here = np.concatenate(([0], np.cumsum(sizes)))
-                places = np.repeat(blanks[seen] - here[:-1], sizes) + np.arange(here[-1])
-                batch = (own[seen], here, [g[places] for g in grams])
-                got, kept = word_inputs(tables.numbers, *batch, base, half[seen], keep=True)
-                local = np.where(w >= 0, np.searchsorted(seen, w), len(seen))
+                m, y = mask[:, chosen], labels[owner[chosen]]
+                seen, batch, half, local = taken(chosen)
+                got, kept = word_inputs(tables.numbers, *batch, base, half, keep=True)
                 x = _placed(local, got)
                 logits, cache = _forward(weights, x, m, keep=True)
                 error = (weight[owner[chosen]] * (sigmoid(logits) - y) / len(chosen)).astype(np.float32)
@@ -316,7 +343,7 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, prior: float | None
                 if len(seen):
                     back = np.stack([np.bincount(local.ravel(), by_inputs[:, :, c].ravel(), len(seen) + 1)[:-1] for c in range(INPUTS)], axis=1).astype(np.float32)
                     tables.update(_moves(*batch, got, kept, back))
-        inputs, values = valued()
+        values = valued(lambda x, m: _logits(weights, x, m))
     order, place = ranked(values)
     top = values[order[place == 0]]
     scale = logistic_fit(top[:, None], labels, _prior_weights(labels, prior), ridge=0.01)
