@@ -7,10 +7,12 @@ come, in an order that has nothing to do with their lengths.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from functools import cache
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,15 @@ from .common import Known, map_columns, slices, written
 CAPACITY, OPEN_BINS, END_ID = 2048, 1024, 0
 PIECES_PER_TASK = 50_000
 _MARK = "\u0663"  # a digit
+#: How the vocabulary normalizes and splits, if words of ``_SIMPLE`` characters may be split here.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_END = "</w>"
+#: Printable ASCII and the letters of Latin-1, which NFC leaves and ``str.lower`` changes as the library does.
+_SIMPLE = re.compile("^[!-~À-ÖØ-öø-ÿ]+$", re.M)
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 _PIECE = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 
 
@@ -29,8 +40,9 @@ class Words:
     """Ids of texts by the tokenizers library, kept for each word met.
 
     The vocabulary's splitter drops blanks and never joins what they part, so a text's ids are those of its words in
-    turn; words are encoded together, parted by a digit that stands alone. A text in which a special token of the
-    vocabulary is spelt out is encoded whole, as the library reads it.
+    turn; words are encoded together, parted by a digit that stands alone. Simple words are lower-cased and split here, and
+    the library only merges their parts, each of which ends in the one id whose token ends in ``</w>``. A text in which a
+    special token of the vocabulary is spelt out is encoded whole, as the library reads it.
     """
 
     def __init__(self, path: str):
@@ -42,6 +54,7 @@ class Words:
         self._known = Known(256 << 20)
         self._mark = self._ids([_MARK])[0]
         self.by_word = self._parts_words()
+        self._ends, self._merger = self._merges_parts(Tokenizer)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -51,8 +64,38 @@ class Words:
         probe = f"a b\n{_MARK} c1 {_MARK}d."
         return len(self._mark) > 0 and np.array_equal(self._ids([probe])[0], np.concatenate(self._ids(["a", "b", _MARK, "c1", _MARK, "d."])))
 
+    def _merges_parts(self, tokenizer):
+        """(whether each id ends a part, a tokenizer that merges parts split by blanks), or nothing for a vocabulary of another kind."""
+        stated = json.loads(self._tokenizer.to_str())
+        model = stated["model"]
+        plain = not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        if not plain or model["type"] != "BPE" or model.get("end_of_word_suffix") != _END or stated["normalizer"] != _NORMALIZER or stated["pre_tokenizer"] != _SPLITTER:
+            return None, None
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        ends[[i for token, i in model["vocab"].items() if token.endswith(_END)]] = True
+        merger = tokenizer(self._tokenizer.model)
+        merger.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        return ends, merger
+
+    def _simple(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of those ``words``, without line feeds, that have simple characters only."""
+        found = {}
+        simple = _SIMPLE.findall("\n".join(words)) if self._merger else []
+        for at in range(0, len(simple), 2000):
+            some = simple[at : at + 2000]
+            parts = _PARTS.sub(r"\g<0> ", "\n".join(some).lower())
+            ids = np.array(self._merger.encode_batch_fast([parts], add_special_tokens=False)[0].ids, "<u4")
+            last, counts = np.flatnonzero(self._ends[ids]) + 1, np.cumsum([x.count(" ") for x in parts.split("\n")])
+            if len(last) == counts[-1]:
+                raw, cuts = ids.tobytes(), (4 * last[counts - 1]).tolist()
+                found.update({w: raw[a:b] for w, a, b in zip(some, [0, *cuts], cuts)})
+        return found
+
     def _learn(self, words: list[str]) -> None:
-        found, plain = {}, [w for w in words if _MARK not in w]
+        found = self._simple(words)
+        plain = [w for w in words if w not in found and _MARK not in w]
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
             ids = self._ids([f" {_MARK} ".join(some)])[0]
@@ -75,10 +118,14 @@ class Words:
         plain = [self.by_word and not any(x in t for x in self._special) for t in texts]
         whole = iter([i.tobytes() for i in self._ids([t for t, p in zip(texts, plain) if not p])] if not all(plain) else ())
         cut = [t.replace("\n", " ").split(" ") if p else None for t, p in zip(texts, plain)]
-        new = set(filterfalse(self._known.__contains__, chain.from_iterable(filter(None, cut))))
+        said = set(chain.from_iterable(filter(None, cut)))  # looked up once here: the table of all words is far larger than a cache
+        own = dict(zip(said, map(self._known.get, said)))
+        new = [w for w, ids in own.items() if ids is None]
         if new:
-            self._learn(list(new))
-        return [next(whole) if words is None else b"".join(map(self._known.__getitem__, words)) for words in cut]
+            self._learn(new)
+            own.update(zip(new, map(self._known.__getitem__, new)))
+        ids = own.__getitem__
+        return [next(whole) if words is None else b"".join(map(ids, words)) for words in cut]
 
 
 @cache
